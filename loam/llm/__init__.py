@@ -1,7 +1,7 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this."""
 
-from . import decontamination, sharding
+from . import decontamination, quality, sharding, toxicity
 
-_MODULES = (sharding, decontamination)
+_MODULES = (sharding, decontamination, toxicity, quality)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -53,3 +53,18 @@ def key_parts(df: DataFrame, key: str) -> tuple[Column, Column]:
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return col.isNull(), F.coalesce(col.cast("long"), F.lit(0).cast("long"))
     return col.isNull(), F.coalesce(col.cast("string"), F.lit(""))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> tuple[list[str], list[int]]:
+    """At most `bound` labelled texts, chosen by the hash of doc_id, with their 0/1 labels.
+
+    Only narrow label rows are ordered; the bounded choice is small, whatever the
+    table's size, so documents are scanned once and joined to it in place.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text != ''")
+    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))[:bound]
+    return [r.text for r in rows], [r.label for r in rows]
