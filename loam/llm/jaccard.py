@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, prepare, table
 from .packed import bounded_set, by_part, joined, member, part_of, parts_for, split
-from .textkit import _BASE, U, mix, ngrams, slices, words
+from .textkit import _BASE, U, mix, ngrams, order_by, slices, words
 
 N, THRESHOLD = 3, 0.6
-SKETCH_BITS = 20
+SKETCH_BITS, SKETCH_PARTS = 20, 16
 #: N-grams of one block of sets in verification.
 BLOCK = 2_000_000
 #: Signatures that a task holds before it passes them on.
@@ -58,7 +58,7 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             own = own * U(_BASE) + w.hash[w.first[short] + k]
         h, row = np.concatenate([h, mix(own + U(c))]), np.concatenate([row, short])
     h = h >> U(6)
-    order = np.lexsort((h, row))
+    order = order_by(row, h)
     h, row = h[order], row[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
     h, row = h[new], row[new]
@@ -78,21 +78,34 @@ def _own(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND text != ''")
 
 
-def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(counts of n-grams by hash bucket over all documents, their total)."""
-    blocks = 16
-    size = (1 << SKETCH_BITS) // blocks
+def survey(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over all documents, kept: rows with part hold packed counts of n-grams by hash
+    bucket for a sixteenth of the sketch; rows without hold the set of each document.
+    """
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+    names = ["part", "n", "id", "doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                h, _ = gram_sets(b.column(1).slice(lo, hi - lo), n)
+                h, first = gram_sets(b.column(1).slice(lo, hi - lo), n)
                 total += np.bincount((h >> U(58 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                some = np.diff(first) > 0
+                k = int(some.sum())
+                ids = pa.array(set_ids(h, first)[some].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), ids, b.column(0).slice(lo, hi - lo).filter(pa.array(some))], names=names)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in total.reshape(blocks, size)], pa.binary())], names=["part", "n"])
+            packed = [x.astype(np.uint32).tobytes() for x in total.reshape(SKETCH_PARTS, size)]
+            none = pa.nulls(SKETCH_PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary()), none, none], names=names)
+
+    return durable(docs.mapInArrow(run, "part int, n binary, id long, doc_id long"))
 
-    rows = docs.mapInArrow(count, "part int, n binary")
+
+def sketch(surveyed: DataFrame) -> tuple[np.ndarray, int]:
+    """(counts of n-grams by hash bucket over all documents, their total)."""
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -103,11 +116,16 @@ def sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "n"])
 
-    out = np.zeros((blocks, size), np.int64)
-    for r in rows.repartition(blocks, "part").mapInArrow(run, "part int, n binary").collect():
+    out = np.zeros((SKETCH_PARTS, size), np.int64)
+    packed = surveyed.where("part IS NOT NULL").select("part", "n")
+    for r in packed.repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, n binary").collect():
         out[r.part] += np.frombuffer(r.n, np.int64)
-    out = out.reshape(-1)
-    return out, int(out.sum())
+    return out.reshape(-1), int(out.sum())
+
+
+def members(surveyed: DataFrame) -> DataFrame:
+    """(id, doc_id) of all documents with words: which set each of them has."""
+    return surveyed.where("part IS NULL").select("id", "doc_id").distinct()
 
 
 class Prefixes:
@@ -118,7 +136,7 @@ class Prefixes:
         self.t = threshold
         self.frequent = counts > mean + 6 * np.sqrt(mean) + 16
         levels = np.zeros(len(counts), np.int64)
-        levels[counts > 0] = np.log2(np.maximum(counts[counts > 0], 1)).astype(np.int64)
+        levels[counts > 0] = np.minimum(np.log2(counts[counts > 0]), 31).astype(np.int64)
         self.level = levels
 
     def regime(self, n: np.ndarray) -> np.ndarray:
@@ -136,8 +154,8 @@ class Prefixes:
         row = np.repeat(np.arange(len(n)), n)
         bucket = (h >> U(58 - SKETCH_BITS)).astype(np.int64)
         often = self.frequent[bucket]
-        key = (often.astype(U) << U(63)) | (self.level[bucket].astype(U) << U(58)) & U((1 << 63) - 1) | (mix(h) >> U(7))
-        order = np.lexsort((h, key, row))
+        key = (often.astype(U) << U(63)) | (self.level[bucket].astype(U) << U(58)) | (mix(h) >> U(6)) & U((1 << 58) - 1)
+        order = order_by(row, key)
         h, often = h[order], often[order]
         need = (n - np.ceil(self.t * n - 1e-9).astype(np.int64) + 1)[row]
         at = np.arange(len(h)) - first[:-1][row] if len(h) else row
@@ -178,7 +196,7 @@ class Prefixes:
 
 def _least(sig: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """The least signatures of each row, sorted; missing ones are the highest number."""
-    order = np.lexsort((sig, row))
+    order = order_by(row, sig)
     sig, row = sig[order], row[order]
     begin = np.searchsorted(row, np.arange(rows))
     at = np.arange(len(sig)) - begin[row]
@@ -188,10 +206,10 @@ def _least(sig: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def candidates(docs: DataFrame, surveyed: DataFrame, n: int, threshold: float) -> DataFrame:
     """(x, y, nx, ny): ids and sizes of distinct sets that share a signature, x < y."""
     spark = docs.sparkSession
-    counts, total = sketch(docs, n)
+    counts, total = sketch(surveyed)
     parts = parts_for(int(total * (1 - threshold)) * 10)
     shared = spark.sparkContext.broadcast(Prefixes(counts, threshold))
 
@@ -285,10 +303,9 @@ def _sets(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def similar_sets(docs: DataFrame, surveyed: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(x, y, jaccard): ids of distinct sets that are similar enough."""
-    docs = _own(docs)
-    found = durable(candidates(docs, n, threshold))
+    found = durable(candidates(docs, surveyed, n, threshold))
     sides = found.select(F.col("x").alias("id"), F.col("y").alias("other"), F.col("nx").alias("n"))
     sides = sides.union(found.select(F.col("y").alias("id"), F.col("x").alias("other"), F.col("ny").alias("n")))
     least = sides.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("lead"))
@@ -336,23 +353,11 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     return rows.mapInArrow(verify, "x long, y long, jaccard double")
 
 
-def members(docs: DataFrame, n: int = N) -> DataFrame:
-    """(id, doc_id) of all documents with words: which set each of them has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column(1)):
-                h, first = gram_sets(b.column(1).slice(lo, hi - lo), n)
-                some = np.diff(first) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)[some].view(np.int64)), b.column(0).slice(lo, hi - lo).filter(pa.array(some))], names=["id", "doc_id"])
-
-    return _own(docs).mapInArrow(run, "id long, doc_id long").distinct()
-
-
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard) of all pairs of documents, doc_a < doc_b, that are similar enough."""
-    who = durable(members(docs, n))
-    sets = similar_sets(docs, n, threshold)
+    docs = _own(docs)
+    surveyed = survey(docs, n)
+    who, sets = members(surveyed), similar_sets(docs, surveyed, n, threshold)
     a, b = who.select(F.col("id").alias("x"), F.col("doc_id").alias("a")), who.select(F.col("id").alias("y"), F.col("doc_id").alias("b"))
     across = sets.join(a, "x").join(b, "y").select("a", "b", "jaccard")
     equal = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
@@ -381,8 +386,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept): each document that resembles another, and the least doc_id of its group."""
-    who = durable(members(docs, n))
-    labels = components(similar_sets(docs, n, threshold))
+    docs = _own(docs)
+    surveyed = survey(docs, n)
+    who, labels = members(surveyed), components(similar_sets(docs, surveyed, n, threshold))
     # A doc_id of several rows belongs to several sets; their groups are one.
     named = who.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
     twice = named.groupBy("doc_id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")

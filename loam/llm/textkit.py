@@ -51,6 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def order_by(row: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Positions sorted by row, then by the keys, the first one foremost; like lexsort, but by
+    one quick sort and one radix sort where there is one key and rows are few.
+    """
+    if len(keys) > 1 or not len(row) or row.max() > 0xFFFF:
+        return np.lexsort((*reversed(keys), row))
+    first = np.argsort(keys[0])
+    return first[np.argsort(row[first].astype(np.uint16), kind="stable")]
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """S with S[j] = sum of values[i] * base**i over i < j, for `span_hash`."""
     out = np.zeros(len(values) + 1, U)
