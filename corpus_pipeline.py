@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.llm.bpe import encoded
 from loam.llm.common import table
+from loam.llm.decontamination import drop_contaminated
+from loam.llm.jaccard import keep_one
+from loam.llm.quality import keep_good
+from loam.llm.repeats import cut_repeats
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("encoding", encoded),
+]
 ORACLE_SQL = None
 
 
