@@ -11,6 +11,7 @@ from pyspark.sql.column import Column
 from ..session import visible
 
 ARROW_ROWS = 2000
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -19,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     (local runs only) a temporary one.
     """
     visible(spark)
+    # Python workers give freed memory back, so that two fit beside an executor's heap.
+    spark.sparkContext.environment.update(_WORKER)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext

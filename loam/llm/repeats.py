@@ -36,7 +36,7 @@ from .textkit import U, Words, mix, ngrams, prefix_sums, slices, span_hash, word
 
 WORDS, ANCHOR = 50, 26
 _LAST = (1 << 63) - 1
-_HELD = 48 << 20
+_HELD = 16 << 20
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +91,7 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray | None:
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 held.append(anchors(words(b.column(1).slice(lo, hi - lo), False))[0])
-            if sum(map(len, held)) > 4 << 20:
+            if sum(map(len, held)) > 1 << 20:
                 yield from flush()
                 held.clear()
         if held:

@@ -88,7 +88,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a longer text gets a range of its own."""
     if not len(texts):
         return
