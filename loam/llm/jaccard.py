@@ -12,9 +12,10 @@ one class, and these are indexed. Every pair that shares one is verified on its
 whole sets, so the result is exact but for collisions of 58-bit hashes.
 
 A pair that shares many signatures is emitted at few: each set carries its three
-least signatures, and the pair is left to the least one that both carry.
-Verification groups pairs by the least partner of one side, which moves each set
-to few places, and parts a large group into blocks of bounded size.
+least signatures, and the pair is left to the least one that both carry. Parity
+bits of both sets give a lower bound of their difference, which drops most pairs
+that met by chance. The sets of the others meet by connected component, each moved
+once, and a large component is parted into blocks of bounded size.
 
 Defined results: rows with a NULL doc_id or without words (NULL and empty texts
 too) are in no pair; equal sets have similarity 1; rows that share a doc_id are
@@ -25,7 +26,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,29 @@ def set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(np.diff(first).astype(U)))
 
 
+def parity_bits(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set, the parities of its n-grams by their last bits, in two to four bits an n-gram.
+
+    Two such strings, the longer one folded, differ in at most as many bits as the sets differ in n-grams.
+    """
+    n = np.diff(first)
+    size = np.int64(1) << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(begin[:-1], n) + (h & np.repeat(size - 1, n).astype(U)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((begin // 8).tobytes()), pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
+def may_be_similar(a: bytes, b: bytes, na: int, nb: int, threshold: float) -> bool:
+    """Whether parity bits leave it open that sets of these sizes are similar."""
+    x, y = (a, b) if len(a) <= len(b) else (b, a)
+    v, k, least = int.from_bytes(y, "little"), 8 * len(y), 8 * len(x)
+    while k > least:
+        k >>= 1
+        v = (v >> k) ^ (v & ((1 << k) - 1))
+    return (v ^ int.from_bytes(x, "little")).bit_count() <= na + nb - 2 * math.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+
+
 def _own(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -80,10 +105,11 @@ def _own(docs: DataFrame) -> DataFrame:
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
     """One pass over all documents, kept: rows with part hold packed counts of n-grams by hash
-    bucket for a sixteenth of the sketch; rows without hold the set of each document.
+    bucket for a sixteenth of the sketch; rows without hold the set of each document, its
+    size and its parity bits.
     """
     size = (1 << SKETCH_BITS) // SKETCH_PARTS
-    names = ["part", "n", "id", "doc_id"]
+    names = ["part", "n", "id", "doc_id", "size", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -94,13 +120,16 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
                 some = np.diff(first) > 0
                 k = int(some.sum())
                 ids = pa.array(set_ids(h, first)[some].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), ids, b.column(0).slice(lo, hi - lo).filter(pa.array(some))], names=names)
+                own = b.column(0).slice(lo, hi - lo).filter(pa.array(some))
+                first = np.r_[first[:-1][some], first[-1:]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), ids, own, pa.array(np.diff(first).astype(np.int32)), parity_bits(h, first)], names=names)
         if total.any():
             packed = [x.astype(np.uint32).tobytes() for x in total.reshape(SKETCH_PARTS, size)]
             none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary()), none, none], names=names)
+            rest = [pa.nulls(SKETCH_PARTS, k) for k in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary()), none, none, *rest], names=names)
 
-    return durable(docs.mapInArrow(run, "part int, n binary, id long, doc_id long"))
+    return durable(docs.mapInArrow(run, "part int, n binary, id long, doc_id long, size int, bits binary"))
 
 
 def sketch(surveyed: DataFrame) -> tuple[np.ndarray, int]:
@@ -303,54 +332,79 @@ def _sets(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
-def similar_sets(docs: DataFrame, surveyed: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(x, y, jaccard): ids of distinct sets that are similar enough."""
-    found = durable(candidates(docs, surveyed, n, threshold))
-    sides = found.select(F.col("x").alias("id"), F.col("y").alias("other"), F.col("nx").alias("n"))
-    sides = sides.union(found.select(F.col("y").alias("id"), F.col("x").alias("other"), F.col("ny").alias("n")))
-    least = sides.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("lead"))
-    led = found.join(least.withColumnRenamed("id", "x"), "x")
-    in_group = led.select("lead", F.col("x").alias("id"), F.col("nx").alias("n")).union(led.select("lead", F.col("y").alias("id"), F.col("ny").alias("n"))).distinct()
+def _checked(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, bytes], float], kind: str) -> DataFrame:
+    """(x, y, nx, ny, value) of the pairs whose payloads pass: check gives a value, or a negative one.
+
+    pairs has a column lead, by which both sides of a pair meet; a group whose sets have
+    more than BLOCK n-grams is parted into blocks of pairs.
+    """
+    spark = pairs.sparkSession
+    in_group = pairs.select("lead", F.col("x").alias("id"), F.col("nx").alias("n")).union(pairs.select("lead", F.col("y").alias("id"), F.col("ny").alias("n"))).distinct()
     blocks = in_group.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("b"))
-    led = led.join(blocks, "lead").withColumns({"p": F.pmod(F.xxhash64("x"), "b"), "q": F.pmod(F.xxhash64("y"), "b")})
-    led = durable(led.select("lead", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "x", "y"))
+    led = pairs.join(blocks, "lead").withColumns({"p": F.pmod(F.xxhash64("x"), "b"), "q": F.pmod(F.xxhash64("y"), "b")})
+    led = durable(led.select("lead", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "x", "y", "nx", "ny"))
     places = led.select("lead", "p", "q", F.col("x").alias("id")).union(led.select("lead", "p", "q", F.col("y").alias("id"))).distinct()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(0)).tobytes()], pa.binary())], names=["v"])
-
-    ids = places.select("id").distinct()
-    wanted = bounded_set(ids.mapInArrow(pack, "v binary"), ids.count())
     none = F.lit(None)
-    shipped = places.join(_sets(docs, n, wanted), "id").select("lead", "p", "q", F.lit(0).alias("kind"), F.col("id").alias("x"), none.cast("long").alias("y"), "grams")
-    rows = shipped.union(led.select("lead", "p", "q", F.lit(1), "x", "y", none.cast("binary")))
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = rows.repartition(int(parts), "lead", "p", "q").sortWithinPartitions("lead", "p", "q", "kind")
+    empty = [none.cast("long").alias("y"), none.cast("int").alias("nx"), none.cast("int").alias("ny")]
+    shipped = places.join(payload, "id").select("lead", "p", "q", F.lit(0).alias("kind"), F.col("id").alias("x"), *empty, F.col(kind).alias("body"))
+    rows = shipped.union(led.select("lead", "p", "q", F.lit(1), "x", "y", "nx", "ny", none.cast("binary")))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lead", "p", "q").sortWithinPartitions("lead", "p", "q", "kind")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, {}
         for b in batches:
-            lead, p, q, kind, x, y, grams = (c.to_pylist() for c in b.columns)
+            lead, p, q, which, x, y, nx, ny, body = (c.to_pylist() for c in b.columns)
             out = []
             for k in range(b.num_rows):
                 now = (lead[k], p[k], q[k])
                 if now != key:
-                    key, sets = now, {}
-                if kind[k] == 0:
-                    sets[x[k]] = np.frombuffer(grams[k], U)
+                    key, own = now, {}
+                if which[k] == 0:
+                    own[x[k]] = body[k]
                     continue
-                s, t = sets[x[k]], sets[y[k]]
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                value = common / (len(both) - common)
-                if value >= threshold:
-                    out.append((x[k], y[k], value))
+                value = check(own[x[k]], own[y[k]], nx[k], ny[k])
+                if value >= 0:
+                    out.append((x[k], y[k], nx[k], ny[k], value))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["x", "y", "jaccard"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["x", "y", "nx", "ny", "value"])
+
+    return rows.mapInArrow(run, "x long, y long, nx int, ny int, value double")
+
+
+def similar_sets(docs: DataFrame, surveyed: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(x, y, jaccard): ids of distinct sets that are similar enough.
+
+    Parity bits first drop most pairs that share a signature by chance; the sets of
+    the others meet by connected component, so each moves once.
+    """
+    found = durable(candidates(docs, surveyed, n, threshold))
+    sides = found.select(F.col("x").alias("id"), F.col("y").alias("other")).union(found.select("y", "x"))
+    least = sides.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("lead"))
+    bits = surveyed.where("part IS NULL").select("id", "bits").dropDuplicates(["id"])
+
+    def by_bits(a: bytes, b: bytes, na: int, nb: int) -> float:
+        return 0.0 if may_be_similar(a, b, na, nb, threshold) else -1.0
+
+    likely = durable(_checked(found.join(least.withColumnRenamed("id", "x"), "x"), bits, by_bits, "bits"))
+    labels = components(likely)
+    led = likely.join(labels.select(F.col("id").alias("x"), F.col("label").alias("lead")), "x")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(0)).tobytes()], pa.binary())], names=["v"])
+
+    ids = labels.select("id")
+    wanted = bounded_set(ids.mapInArrow(pack, "v binary"), ids.count())
+
+    def by_sets(a: bytes, b: bytes, na: int, nb: int) -> float:
+        both = np.concatenate([np.frombuffer(a, U), np.frombuffer(b, U)])
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        value = common / (len(both) - common)
+        return value if value >= threshold else -1.0
 
-    return rows.mapInArrow(verify, "x long, y long, jaccard double")
+    return _checked(led, _sets(docs, n, wanted), by_sets, "grams").select("x", "y", F.col("value").alias("jaccard"))
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, prepare, table
 from .packed import bounded_set, by_part, joined, member, part_of, parts_for, split
-from .textkit import U, Words, mix, ngrams, prefix_sums, slices, span_hash, words
+from .textkit import U, Words, mix, ngrams, prefix_sums, raw, slices, span_hash, words
 
 WORDS, ANCHOR = 50, 26
 _LAST = (1 << 63) - 1
@@ -112,6 +112,18 @@ def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return data[np.arange(size.sum()) + np.repeat(start - to, size)]
 
 
+def _words(texts: pa.Array) -> Words:
+    """The words of a large array, found slice by slice."""
+    data, _ = raw(texts)
+    found, bytes_before, words_before, rows_before = [], 0, 0, 0
+    for lo, hi in slices(texts):
+        w = words(texts.slice(lo, hi - lo), False)
+        found.append((w.start + bytes_before, w.end + bytes_before, w.hash, w.row + rows_before, w.first[:-1] + words_before))
+        bytes_before, words_before, rows_before = bytes_before + len(w.data), words_before + len(w.hash), hi
+    start, end, hashes, row, first = (np.concatenate(x) for x in zip(*found))
+    return Words(data, start, end, hashes, row, np.r_[first, words_before])
+
+
 def check_words(data: np.ndarray, w: Words) -> None:
     """Raises an error if two words of one hash aren't the same bytes."""
     size = w.end - w.start
@@ -201,7 +213,7 @@ def repeats(texts: pa.Array, anchor: np.ndarray, offset: np.ndarray, count: np.n
     Row r has a text of count[r] + WORDS - 1 words; its windows start at words 0 .. count[r] - 1,
     window k stands at place at[r] + k of the document, offset[r] - k words before the anchor.
     """
-    w = words(texts, False)
+    w = _words(texts)
     check_words(w.data, w)
     suffixes = Suffixes(w.hash)
     row = np.repeat(np.arange(len(count)), count)
@@ -243,7 +255,7 @@ def spans(docs: DataFrame) -> DataFrame:
     wanted = repeated_anchors(docs)
     shared = spark.sparkContext.broadcast(wanted)
     scale = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = parts_for(2 * scale)
+    parts = parts_for(3 * scale)
     names = ["part", "anchor", "offset", "count", "doc", "uid", "at", "size", "text"]
     kinds = (U, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
 
