@@ -1,4 +1,6 @@
 """Registered queries over the test tables and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import analysis, corpus, vectors
+
+QUERIES = vectors.QUERIES | corpus.QUERIES | analysis.QUERIES
+ORACLE_SQL = vectors.ORACLE_SQL | corpus.ORACLE_SQL | analysis.ORACLE_SQL
