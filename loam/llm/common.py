@@ -11,7 +11,7 @@ from pyspark.sql.column import Column
 from ..session import visible
 
 ARROW_ROWS = 2000
-_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2"}
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
