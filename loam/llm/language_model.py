@@ -1,27 +1,31 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-The vocabulary holds the most frequent folded words of the whole corpus; other
-words fall into classes by length, and a mark stands before each text. The
-model predicts a representation of the next word as the sum of those of the two
-words before it, each weighted by place, and scores a word by the inner product
-with its target vector plus a bias. Every partition trains on all its tokens in
-numpy, from the same start, telling words from noise drawn by corpus frequency;
-the models are then averaged, weighted by tokens. Scoring is normalised: batched
-matrix products give the log-partition of every pair of context words once, and
-a token's log-probability is its score less that.
+The vocabulary holds every folded word that the corpus has LEAST times or more, so
+it grows with the corpus; other words fall into classes by length, whose
+probability is split evenly among their distinct words, and a mark stands before
+each text. The model predicts a representation of the next word as the sum of
+those of the two words before it, each weighted by place, and scores a word by the
+inner product with its target vector plus a bias. Words in order of frequency are
+cut into GROUPS runs, which have target vectors and biases too: the probability of
+a word is that of its group among all groups, times its own within the group, so
+that it is normalised over all words by batched matrix products over the contexts
+seen. Every partition trains on all its tokens in numpy, from the same start,
+telling words from noise drawn by corpus frequency, and groups likewise; it holds
+only rows that it meets. The models are then averaged row by row, weighted by the
+steps that changed a row.
 
 Both the counts and the training go over all documents, so what is gathered
-grows with the corpus.
+grows with the corpus; the model is broadcast and takes 132 bytes a word.
 
 Defined results: a NULL, empty or wordless text has 0 tokens and NULL scores;
-a word outside the vocabulary counts as its length class; a corpus without words
-has no model, and all scores are NULL; repeated rows count as often as they
-stand; an empty table gives an empty result. Other input columns are ignored.
+a word outside the vocabulary has an equal share of its length class; a corpus
+without words has no model, and all scores are NULL; repeated rows count as often
+as they stand; an empty table gives an empty result. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,40 +34,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, prepare, table
-from .textkit import U, slices, words
+from .textkit import U, mix, raw, slices, words
 
-SIZE, CLASSES, DIM = 1024, 24, 16
+LEAST, GROUPS, CLASSES, DIM = 2, 1023, 24, 16
 NOISE, BATCH, RATE = 32, 4096, 0.1
-_MARK = SIZE - 1
-_WORDS = SIZE - 1 - CLASSES
+_MARK = GROUPS
+_WIDE = 2 * DIM + 1  # floats of a row: context vector, target vector, bias
+_RATES = np.array([RATE] * DIM + [RATE / 2], np.float32)
 
 
 @dataclass
 class Vocabulary:
+    """Outcomes are words and length classes, numbered by falling frequency; the mark comes after them."""
+
     hashes: np.ndarray  # sorted
     ids: np.ndarray
-    share: np.ndarray  # of each id among all tokens, smoothed; 0 for the mark
+    other: np.ndarray  # outcome of each length class
+    many: np.ndarray  # distinct words of each length class, 1 at least
+    share: np.ndarray  # of each outcome among all tokens, smoothed
+    starts: np.ndarray  # group g has the outcomes starts[g]..starts[g + 1] - 1
+
+    @property
+    def mark(self) -> int:
+        return len(self.share)
 
     def of(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Ids of words by hash and length in bytes."""
+        """Outcomes of words by hash and length in bytes."""
         at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        other = _WORDS + np.minimum(size, CLASSES) - 1
+        other = self.other[np.minimum(size, CLASSES) - 1]
         return np.where(self.hashes[at] == h, self.ids[at], other) if len(self.hashes) else other
 
+    def group(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, ids, "right") - 1
+
+    def group_share(self) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(self.share)])[self.starts])
+
+    def split(self) -> np.ndarray:
+        """log of the words of each outcome."""
+        out = np.zeros(self.mark, np.float32)
+        out[self.other] = np.log(self.many)
+        return out
+
 
 @dataclass
 class Model:
-    context: np.ndarray  # (SIZE, DIM)
+    context: np.ndarray  # (outcomes and the mark, DIM)
     place: np.ndarray  # (2, DIM)
-    target: np.ndarray  # (SIZE, DIM)
-    bias: np.ndarray  # (SIZE,)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.context, self.target, self.place, self.bias.reshape(-1, DIM)])
-
-    @staticmethod
-    def build(rows: np.ndarray) -> "Model":
-        return Model(rows[:SIZE], rows[2 * SIZE : 2 * SIZE + 2], rows[SIZE : 2 * SIZE], rows[2 * SIZE + 2 :].reshape(-1))
+    target: np.ndarray  # (outcomes, DIM + 1), the bias last
+    group: np.ndarray  # (GROUPS, DIM + 1), the bias last; -inf for a group without outcomes
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -99,20 +118,27 @@ def vocabulary(docs: DataFrame) -> Vocabulary | None:
     """The vocabulary of all documents; None without words."""
     counts = _texts(docs).mapInArrow(_count, "h long, c int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
     counts = durable(counts)
-    chosen = counts.orderBy(F.desc("n"), "h").limit(_WORDS).collect()
-    classes = counts.groupBy("c").agg(F.sum("n").alias("n")).collect()
-    if not chosen:
+    chosen = counts.where(F.col("n") >= LEAST).select("h", "n").toArrow()
+    classes = counts.where(F.col("n") < LEAST).groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    if not len(chosen) and not classes:
         return None
-    n = np.zeros(SIZE)
+    h = chosen.column(0).to_numpy().view(U)
+    n = np.concatenate([chosen.column(1).to_numpy(), np.zeros(CLASSES, np.int64)])
+    many = np.ones(CLASSES, np.int64)
     for r in classes:
-        n[_WORDS + r.c - 1] += r.n
-    for k, r in enumerate(chosen):
-        n[k] = r.n
-        n[_WORDS + r.c - 1] -= r.n
-    n[:_MARK] += 1
-    h = np.array([r.h for r in chosen], np.int64).view(U)
-    order = np.argsort(h)
-    return Vocabulary(h[order], order, n / n.sum())
+        n[len(h) + r.c - 1], many[r.c - 1] = r.n, r.words
+    n += 1
+    order = np.lexsort((np.concatenate([h, np.arange(CLASSES, dtype=U)]), -n))
+    rank = np.empty(len(n), np.int32)
+    rank[order] = np.arange(len(n), dtype=np.int32)
+    by_hash = np.argsort(h)
+    return Vocabulary(h[by_hash], rank[: len(h)][by_hash], rank[len(h) :], many, (n[order] / n.sum()).astype(np.float32), _starts(len(n)))
+
+
+def _starts(n: int) -> np.ndarray:
+    """Begins of the groups of n outcomes and their end: longer runs for rarer words, and one outcome at least while there are any."""
+    k = np.arange(GROUPS + 1)
+    return np.minimum(np.maximum(k, n * k**2 // GROUPS**2), n)
 
 
 def windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,129 +147,227 @@ def windows(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     ids = vocab.of(w.hash, w.end - w.start)
     n = len(ids)
     at = np.arange(n) - w.first[w.row]
-    last = np.where(at >= 1, ids[np.maximum(np.arange(n) - 1, 0)], _MARK) if n else ids
-    second = np.where(at >= 2, ids[np.maximum(np.arange(n) - 2, 0)], _MARK) if n else ids
+    last = np.where(at >= 1, ids[np.maximum(np.arange(n) - 1, 0)], vocab.mark) if n else ids
+    second = np.where(at >= 2, ids[np.maximum(np.arange(n) - 2, 0)], vocab.mark) if n else ids
     return second, last, ids, w.first
 
 
-def start_model(vocab: Vocabulary, seed: int = 5) -> Model:
-    rng = np.random.default_rng(seed)
-    draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Model(draw(SIZE, DIM), np.ones((2, DIM), np.float32), draw(SIZE, DIM), np.log(np.maximum(vocab.share, 1e-12)).astype(np.float32))
+class Rows:
+    """Rows of outcomes, the mark and groups, numbered in this order, as every partition starts from them."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.groups = vocab.mark + 1
+        self.place = self.groups + GROUPS
+        self.size = self.place + 1
+        self.log = np.log(np.maximum(np.concatenate([vocab.share, [1], vocab.group_share(), [1]]), 1e-12)).astype(np.float32)
+
+    def start(self, ids: np.ndarray) -> np.ndarray:
+        """Rows drawn by their number alone, with standard deviation 0.1, and the log share as bias."""
+        out = np.empty((len(ids), _WIDE), np.float32)
+        for k in range(0, len(ids), 1 << 16):
+            own = ids[k : k + (1 << 16)]
+            x = mix(own.astype(U)[:, None] * U(2 * DIM) + np.arange(1, 2 * DIM + 1, dtype=U))
+            out[k : k + (1 << 16), : 2 * DIM] = ((x >> U(40)).astype(np.float32) / (1 << 24) - 0.5) * np.float32(0.1 * 12**0.5)
+            out[k : k + (1 << 16), -1] = self.log[own]
+        out[ids == self.place] = 1
+        return out
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad; a batch shares its noise words."""
-
-    def __init__(self, model: Model, vocab: Vocabulary, seed: int):
-        self.m = Model(model.context.copy(), model.place.copy(), model.target.copy(), model.bias.copy())
-        self.rng = np.random.default_rng(seed)
-        self.cut = np.cumsum(vocab.share)
-        self.noise_log = np.log(np.maximum(vocab.share, 1e-12)).astype(np.float32)
-        self.seen = [np.full_like(p, 1e-4) for p in (self.m.context, self.m.place, self.m.target, self.m.bias)]
-
-    def step(self, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> None:
-        m, n = self.m, len(to)
-        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), _MARK - 1)
-        a, b = m.context[second], m.context[last]
-        q = a * m.place[0] + b * m.place[1]
-        r, rn = m.target[to], m.target[noise]
-        shift = np.float32(np.log(NOISE))
-        true = np.einsum("ij,ij->i", q, r) + m.bias[to] - self.noise_log[to] - shift
-        false = q @ rn.T + (m.bias[noise] - self.noise_log[noise] - shift)
-        dt = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - p
-        df = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        dq = dt[:, None] * r + df @ rn
-        grads = (
-            _scatter(np.concatenate([second, last]), np.concatenate([dq * m.place[0], dq * m.place[1]])),
-            np.stack([(dq * a).sum(0), (dq * b).sum(0)]),
-            _scatter(np.concatenate([to, noise]), np.concatenate([dt[:, None] * q, df.T @ q])),
-            np.bincount(np.concatenate([to, noise]), np.concatenate([dt, df.sum(0)]), SIZE).astype(np.float32),
-        )
-        for p, g, s, rate in zip((m.context, m.place, m.target, m.bias), grads, self.seen, (RATE, RATE / 10, RATE, RATE / 2)):
-            g = g / np.float32(n)
-            s += g * g
-            p += rate * g / np.sqrt(s)
-
-
-def _scatter(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by id, by sorting once."""
-    order = np.argsort(ids, kind="stable")
+    """Noise-contrastive steps with Adagrad over words and groups; a batch shares its noise."""
+
+    def __init__(self, vocab: Vocabulary, seed: int):
+        self.vocab, self.rows, self.rng = vocab, Rows(vocab), np.random.default_rng(seed)
+        self.cuts = [np.cumsum(x, dtype=np.float64) for x in (vocab.share, vocab.group_share())]
+        self.at = np.full(self.rows.size, -1, np.int32)  # of rows in the arrays below
+        self.own = np.zeros(0, np.int64)
+        self.noise_log = np.zeros(0, np.float32)
+        self.context, self.target = np.zeros((0, DIM), np.float32), np.zeros((0, DIM + 1), np.float32)
+        self.seen = [np.zeros_like(self.context), np.zeros_like(self.target)]
+        self.steps = np.zeros((2, 0), np.float32)
+        self.place, self.place_seen, self.done = np.ones((2, DIM), np.float32), np.full((2, DIM), 1e-4, np.float32), 0
+
+    def _hold(self, ids: np.ndarray) -> None:
+        new = np.unique(ids[self.at[ids] < 0])
+        if not len(new):
+            return
+        have = len(self.own)
+        self.at[new] = np.arange(have, have + len(new))
+        rows = self.rows.start(new)
+        self.own = np.concatenate([self.own, new])
+        self.noise_log = np.concatenate([self.noise_log, self.rows.log[new]])
+        self.context, self.target = np.concatenate([self.context, rows[:, :DIM]]), np.concatenate([self.target, rows[:, DIM:]])
+        self.seen = [np.concatenate([s, np.full((len(new), s.shape[1]), 1e-4, np.float32)]) for s in self.seen]
+        self.steps = np.concatenate([self.steps, np.zeros((2, len(new)), np.float32)], axis=1)
+
+    def learn(self, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> None:
+        """One pass over tokens in random order."""
+        order = self.rng.permutation(len(to))
+        to = to[order]
+        steps = -(-len(to) // BATCH)
+        noise = [np.minimum(np.searchsorted(c, self.rng.random((steps, NOISE)) * c[-1]), len(c) - 1) for c in self.cuts]
+        found = [second[order], last[order], to, self.vocab.group(to) + self.rows.groups, noise[0], noise[1] + self.rows.groups]
+        for ids in found:
+            self._hold(ids.reshape(-1))
+        s, t, w, g, nw, ng = (self.at[ids] for ids in found)
+        for k in range(steps):
+            own = slice(k * BATCH, (k + 1) * BATCH)
+            self.step(s[own], t[own], [(w[own], nw[k]), (g[own], ng[k])])
+
+    def step(self, second: np.ndarray, last: np.ndarray, outcomes: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        n, shift = np.float32(len(second)), np.float32(np.log(NOISE))
+        a, b = self.context[second], self.context[last]
+        q = np.ones((len(second), DIM + 1), np.float32)
+        q[:, :DIM] = a * self.place[0] + b * self.place[1]
+        dq, ids, grads = np.zeros_like(a), [], []
+        for to, noise in outcomes:
+            r, rn = self.target[to], self.target[noise]
+            true = np.einsum("ij,ij->i", q, r) - self.noise_log[to] - shift
+            false = q @ rn.T - (self.noise_log[noise] + shift)
+            dt = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - p
+            df = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
+            dq += dt[:, None] * r[:, :DIM] + df @ rn[:, :DIM]
+            ids += [to, noise]
+            grads += [dt[:, None] * q, df.T @ q]
+        place = np.stack([(dq * a).sum(0), (dq * b).sum(0)]) / n
+        both = (np.concatenate([second, last]), np.concatenate([dq * self.place[0], dq * self.place[1]])), (np.concatenate(ids), np.concatenate(grads))
+        for k, (p, rate) in enumerate(((self.context, np.float32(RATE)), (self.target, _RATES))):
+            own, g = _scatter(*both[k])
+            g /= n
+            self.seen[k][own] += g * g
+            p[own] += rate * g / np.sqrt(self.seen[k][own])
+            self.steps[k][own] += 1
+        self.place_seen += place * place
+        self.place += np.float32(RATE / 10) * place / np.sqrt(self.place_seen)
+        self.done += 1
+
+    def changed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, steps that changed context and target, values) of all rows held, and of the places."""
+        place = np.ones((1, _WIDE), np.float32)
+        place[0, : 2 * DIM] = self.place.reshape(-1)
+        values = np.concatenate([np.concatenate([self.context, self.target], axis=1), place])
+        return np.append(self.own, self.rows.place), np.concatenate([self.steps, np.full((2, 1), self.done, np.float32)], axis=1), values
+
+
+def _scatter(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their rows, by sorting once."""
+    order = np.argsort(ids)
     own = ids[order]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    out = np.zeros((SIZE, DIM), np.float32)
-    out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return own[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _packed(values: np.ndarray) -> pa.Array:
+    offs = np.arange(len(values) + 1, dtype=np.int32) * np.int32(4 * _WIDE)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(values, np.float32))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return raw(column)[0].view(np.float32).reshape(-1, _WIDE)
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """One pass over all tokens in every partition, then the weighted mean of the models."""
+    """One pass over all tokens in every partition, then the weighted mean of each row."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((vocab, start_model(vocab)))
+    shared = spark.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value
-        trainer, tokens = Trainer(model, v, 1), 0
+        trainer = None
         for b in batches:
+            trainer = trainer or Trainer(shared.value, 1)
             for lo, hi in slices(b.column(0)):
-                second, last, to, _ = windows(v, b.column(0).slice(lo, hi - lo))
-                order = trainer.rng.permutation(len(to))
-                for k in range(0, len(to), BATCH):
-                    own = order[k : k + BATCH]
-                    trainer.step(second[own], last[own], to[own])
-                tokens += len(to)
-        if tokens:
-            rows = trainer.m.flat()
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1) * np.float32(tokens)), DIM).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), flat, pa.array(np.full(len(rows), tokens, np.int64))], names=["i", "v", "n"])
+                second, last, to, _ = windows(shared.value, b.column(0).slice(lo, hi - lo))
+                if len(to):
+                    trainer.learn(second, last, to)
+        if trainer and trainer.done:
+            ids, steps, values = trainer.changed()
+            for k in range(0, len(ids), 1 << 14):
+                own = slice(k, k + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own].astype(np.int32)), pa.array(steps[0, own]), pa.array(steps[1, own]), _packed(values[own])], names=["i", "c", "t", "v"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        for b in batches:
-            vs = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, DIM)
-            for i, v, n in zip(b.column(0).to_pylist(), vs, b.column(2).to_pylist()):
-                own = total.setdefault(i, [np.zeros(DIM), 0])
-                own[0] += v
-                own[1] += n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([list(v / n) for v, n in total.values()], pa.list_(pa.float64()))], names=["i", "v"])
-
-    parts = _texts(docs).mapInArrow(run, "i int, v array<float>, n long")
-    rows = parts.repartition("i").mapInArrow(mean, "i int, v array<double>").collect()
-    found = np.zeros((len(rows), DIM), np.float32)
-    for r in rows:
-        found[r.i] = r.v
-    return Model.build(found)
-
-
-def log_partition(model: Model) -> np.ndarray:
-    """log of the sum over all next words, for every pair of context words."""
-    out = np.empty((SIZE, SIZE), np.float32)
-    bias = model.bias[:_MARK]
-    for k in range(SIZE):
-        z = (model.context[k] * model.place[0] + model.context * model.place[1]) @ model.target[:_MARK].T + bias
+        held = [(np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), _unpacked(b.column(3)).copy()) for b in batches if b.num_rows]
+        if held:
+            ids, c, t, v = (np.concatenate(x) for x in zip(*held))
+            weight = np.concatenate([np.repeat(c[:, None], DIM, 1), np.repeat(t[:, None], DIM + 1, 1)], axis=1) + np.float32(1e-6)  # all the same in rows never changed
+            own, total = _scatter(ids, v * weight)
+            values = total / _scatter(ids, weight)[1]
+            for k in range(0, len(own), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(own[k : k + (1 << 14)]), _packed(values[k : k + (1 << 14)])], names=["i", "v"])
+
+    parts = _texts(docs).mapInArrow(run, "i int, c float, t float, v binary")
+    found = parts.repartition("i").mapInArrow(mean, "i int, v binary").toArrow()
+    rows = Rows(vocab)
+    values, missing = np.empty((rows.size, _WIDE), np.float32), np.ones(rows.size, bool)
+    for b in found.to_batches():
+        if b.num_rows:
+            values[np.asarray(b.column(0))] = _unpacked(b.column(1))
+            missing[np.asarray(b.column(0))] = False
+    missing = np.flatnonzero(missing)
+    values[missing] = rows.start(missing)
+    group = values[rows.groups : rows.place, DIM:].copy()
+    group[np.diff(vocab.starts) == 0, DIM] = -np.inf
+    return Model(values[: rows.groups, :DIM].copy(), values[rows.place, : 2 * DIM].reshape(2, DIM).copy(), values[: vocab.mark, DIM:].copy(), group)
+
+
+def _query(model: Model, second: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The predicted representations, with a 1 for the bias."""
+    q = np.ones((len(second), DIM + 1), np.float32)
+    q[:, :DIM] = model.context[second] * model.place[0] + model.context[last] * model.place[1]
+    return q
+
+
+def _log_sum(q: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the sum of exponential scores over all targets, for every representation."""
+    out = np.empty(len(q), np.float32)
+    step = max(1, (1 << 20) // len(target))
+    for k in range(0, len(q), step):
+        z = q[k : k + step] @ target.T
         top = z.max(axis=1)
-        out[k] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+        z -= top[:, None]
+        out[k : k + step] = top + np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
-def log_probs(model: Model, partition: np.ndarray, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Normalised log-probability of each token."""
-    a, b = model.context * model.place[0], model.context * model.place[1]
-    out = np.empty(len(to), np.float32)
-    for k in range(0, len(to), 1 << 16):
-        s, t, n = second[k : k + (1 << 16)], last[k : k + (1 << 16)], to[k : k + (1 << 16)]
-        out[k : k + (1 << 16)] = np.einsum("ij,ij->i", a[s] + b[t], model.target[n]) + model.bias[n] - partition[s, t]
+def log_partition(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of context words: log of the sum over all groups, worked out once for every pair."""
+
+    def of(second: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n = len(model.context)
+        pairs, at = np.unique(second.astype(np.int64) * n + last, return_inverse=True)
+        return _log_sum(_query(model, pairs // n, pairs % n), model.group)[at]
+
+    return of
+
+
+def log_probs(model: Model, partition: Callable, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Normalised log-probability of the group of each token."""
+    return np.einsum("ij,ij->i", _query(model, second, last), model.group[to]) - partition(second, last)
+
+
+def word_log_probs(model: Model, vocab: Vocabulary, split: np.ndarray, partition: Callable, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Log-probability of the word of each token, normalised over all words: its group, itself in the group, its share of a class."""
+    group = vocab.group(to)
+    out = log_probs(model, partition, second, last, group) - split[to]
+    q = _query(model, second, last)
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        g, own = group[order[lo]], order[lo:hi]
+        begin, end = vocab.starts[g], vocab.starts[g + 1]
+        if end - begin > 1:
+            out[own] += np.einsum("ij,ij->i", q[own], model.target[to[own]]) - _log_sum(q[own], model.target[begin:end])
     return out
 
 
 def score(docs: DataFrame, vocab: Vocabulary | None, model: Model | None) -> DataFrame:
     """(doc_id, n_tokens, mean_log_prob, perplexity) of every row."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((vocab, model, log_partition(model) if model is not None else None))
+    shared = spark.sparkContext.broadcast((vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m, z = shared.value
+        v, m = shared.value
+        z, split = (None, None) if v is None else (log_partition(m), v.split())
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 texts = b.column(1).slice(lo, hi - lo)
@@ -252,7 +376,7 @@ def score(docs: DataFrame, vocab: Vocabulary | None, model: Model | None) -> Dat
                 else:
                     second, last, to, first = windows(v, texts)
                     size = np.diff(first)
-                    total = np.concatenate([[0.0], np.cumsum(log_probs(m, z, second, last, to), dtype=np.float64)])
+                    total = np.concatenate([[0.0], np.cumsum(word_log_probs(m, v, split, z, second, last, to), dtype=np.float64)])
                     mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1)
                 none = size == 0
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_tokens", "mean_log_prob", "perplexity"])

@@ -220,3 +220,25 @@ def test_pipeline_stages(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "decontamination", "encoding"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.where("NOT exact").count() == 0 and 0 < out.count() < 200
+
+
+def test_language_model_words(spark):
+    rng = random.Random(5)
+    common = " ".join(f"c{k:04d}" for k in range(1500) for _ in range(3))
+    texts = [_text(rng, 300, 3000) for _ in range(40)] + [common] + [f"once{k:05d}" for k in range(50)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = {}
+    for w in " ".join(texts).split():
+        counts[w] = counts.get(w, 0) + 1
+    vocab = language_model.vocabulary(docs)
+    once = [w for w, n in counts.items() if n < language_model.LEAST]
+    assert len(vocab.hashes) == len(counts) - len(once) > 1024
+    own = language_model.words(pa.array(list(counts)), True)
+    to = vocab.of(own.hash, own.end - own.start)
+    assert len(set(to.tolist())) == len(vocab.hashes) + len({len(w) for w in once})
+    model = language_model.train(docs, vocab)
+    z, split = language_model.log_partition(model), vocab.split()
+    for second, last in ((vocab.mark, vocab.mark), (3, 900)):
+        p = np.exp(language_model.word_log_probs(model, vocab, split, z, np.full(len(to), second), np.full(len(to), last), to))
+        assert (p > 0).all() and 0.98 < p.sum() < 1.001  # the rest is for lengths that no rare word has
+        assert np.ptp(p[[k for k, w in enumerate(counts) if w.startswith("once")]]) < 1e-9
