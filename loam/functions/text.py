@@ -6,7 +6,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 TEST_MARKS = r"/tests?/|/spec/|[_-](test|spec)\.|\.(test|spec)\."
-LANGUAGES = {"py": "Python", "swift": "Swift", "rb": "Ruby", "js": "JavaScript", "ts": "TypeScript", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin", "c": "C", "h": "C", "cpp": "C++", "cs": "C#", "sql": "SQL", "html": "HTML", "css": "CSS", "md": "Markdown", "json": "JSON", "yml": "YAML", "yaml": "YAML", "sh": "Shell", "txt": "Text"}
+_LABELS = {
+    "Swift": "swift",
+    "JavaScript": "js jsx mjs cjs",
+    "TypeScript": "ts tsx mts cts",
+    "Glimmer TypeScript": "gts",
+    "Glimmer JavaScript": "gjs",
+    "Handlebars": "hbs",
+    "Vue": "vue",
+    "Svelte": "svelte",
+    "Astro": "astro",
+    "Ruby": "rb rake gemspec",
+    "ERB": "erb",
+    "Python": "py pyi pyx",
+    "Rust": "rs",
+    "Go": "go",
+    "C": "c h",
+    "C++": "cpp hpp cc cxx",
+    "C#": "cs",
+    "Java": "java",
+    "Kotlin": "kt kts",
+    "Scala": "scala",
+    "Groovy": "groovy gradle",
+    "Markdown": "md mdx",
+    "Text": "txt",
+    "reStructuredText": "rst",
+    "AsciiDoc": "adoc",
+    "JSON": "json jsonc json5",
+    "YAML": "yml yaml",
+    "TOML": "toml",
+    "XML": "xml plist",
+    "CSS": "css scss sass less styl",
+    "HTML": "html htm",
+    "Template": "ejs njk liquid",
+    "Shell": "sh bash zsh fish",
+    "PowerShell": "ps1",
+    "Batch": "bat cmd",
+    "SQL": "sql",
+    "GraphQL": "graphql gql",
+    "Prisma": "prisma",
+    "Dockerfile": "dockerfile",
+    "Terraform": "tf hcl",
+    "Protocol Buffers": "proto",
+    "Config": "cfg ini conf env",
+}
+LANGUAGES = {ext: label for label, exts in _LABELS.items() for ext in exts.split()}
 
 
 def stable_id(*parts: Column) -> Column:

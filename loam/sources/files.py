@@ -51,7 +51,7 @@ def scan(spark: SparkSession, root: str, excluded: Iterable[str] = (), policy=cr
     """((path, bytes, language, text) of all files to index, refused paths).
 
     Only file names pass the driver; contents are read by executors. Hidden and empty
-    files, unknown extensions and texts that aren't UTF-8 are left out.
+    files, unknown or no extensions and texts that aren't UTF-8 are left out.
     """
     patterns, gone = ignore_patterns(root), [os.path.normpath(x) for x in excluded]
     kept, refused = [], []
@@ -62,7 +62,7 @@ def scan(spark: SparkSession, root: str, excluded: Iterable[str] = (), policy=cr
             path = name if rel == "." else f"{rel}/{name}"
             if policy(path):
                 refused.append(path)
-            elif not name.startswith(".") and name not in SKIPPED_FILES and not ignored(path, patterns) and name.rpartition(".")[2].lower() in LANGUAGES and os.path.getsize(os.path.join(at, name)):
+            elif not name.startswith(".") and name not in SKIPPED_FILES and not ignored(path, patterns) and os.path.splitext(name)[1][1:].lower() in LANGUAGES and os.path.getsize(os.path.join(at, name)):
                 kept.append(os.path.join(at, name))
     if not kept:
         return spark.createDataFrame([], "path string, bytes long, language string, text string"), refused

@@ -151,3 +151,13 @@ def test_text_functions(spark):
     got = rows.select(T.normalize_remote(F.col("url")), T.module_path(F.col("path")), T.language_of(F.col("path"))).collect()
     assert [tuple(r) for r in got] == [("github.com/x/alpha", "a/b", "Swift"), ("github.com/x/alpha", None, None)]
     assert rows.select(T.json_list(F.lit("{bad"))).first()[0] == []
+
+
+def test_scan_extensions(spark, tmp_path):
+    listed = "swift js ts tsx jsx mjs cjs mts cts gts gjs hbs vue svelte astro rb rake gemspec erb py pyi pyx rs go c h cpp hpp cc cxx java kt kts scala groovy gradle md mdx txt rst adoc json jsonc json5 yml yaml toml xml plist css scss sass less styl html htm ejs njk liquid sh bash zsh fish ps1 bat cmd sql graphql gql prisma dockerfile tf hcl proto cfg ini conf env".split()
+    for name in [f"a.{x}" for x in listed] + ["B.TSX", "Dockerfile", "conf", "a.exe"]:
+        (tmp_path / name).write_text("x")
+    found = {r.path: r.language for r in files.scan(spark, str(tmp_path))[0].collect()}
+    assert set(found) == {f"a.{x}" for x in listed} | {"B.TSX"}
+    want = {"a.hpp": "C++", "B.TSX": "TypeScript", "a.gts": "Glimmer TypeScript", "a.erb": "ERB", "a.plist": "XML", "a.scss": "CSS", "a.ejs": "Template", "a.cmd": "Batch", "a.hcl": "Terraform", "a.proto": "Protocol Buffers", "a.ini": "Config", "a.kts": "Kotlin"}
+    assert {k: found[k] for k in want} == want
