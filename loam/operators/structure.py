@@ -164,6 +164,8 @@ AUDITS: Mapping[str, str] = {
     "forced_unwrap": r"\w!\.",
     "swallowed_error": r"try\?\s|except:\s*pass",
     "main_queue_sync": r"main\.sync",
+    "large_tuple": r"->\s*\([^)]{80,}\)",
+    "nested_closure": r"\{[^{}]*\{[^{}]*\{[^}]*\{",  # same matches as with [^}] throughout, without its backtracking
 }
 
 

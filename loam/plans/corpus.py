@@ -204,6 +204,14 @@ def regex_audit_counts(spark, sf_dir):
     return regex_audit(spark, sf_dir).groupBy("pattern").agg(F.count("*").alias("rows_hit"), F.sum("n").alias("hits"))
 
 
+_BUILT_IN_SQL = "SELECT doc_id, pattern, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern, len(regexp_extract_all(text, '{p}'))::INTEGER AS n FROM documents" for k, p in structure.AUDITS.items()) + ") WHERE n > 0"
+
+
+@register("regex_audit_built_in", _BUILT_IN_SQL)
+def regex_audit_built_in(spark, sf_dir):
+    return structure.audit(docs(spark, sf_dir), "doc_id", "text")
+
+
 @register("pipeline_report", f"WITH {_WINDOWS} SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM w) AS chunks, (SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes, (SELECT count(DISTINCT sha256(text)) FROM documents) AS distinct_texts")
 def pipeline_report(spark, sf_dir):
     d = docs(spark, sf_dir)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,12 @@ def test_scan_extensions(spark, tmp_path):
     assert set(found) == {f"a.{x}" for x in listed} | {"B.TSX"}
     want = {"a.hpp": "C++", "B.TSX": "TypeScript", "a.gts": "Glimmer TypeScript", "a.erb": "ERB", "a.plist": "XML", "a.scss": "CSS", "a.ejs": "Template", "a.cmd": "Batch", "a.hcl": "Terraform", "a.proto": "Protocol Buffers", "a.ini": "Config", "a.kts": "Kotlin"}
     assert {k: found[k] for k in want} == want
+
+
+def test_built_in_audits(spark):
+    texts = ["func f() -> (" + "a: Int, " * 12 + "b: Int) {", "func f() -> (Int, Int)", "a { b { c { d { e } } } }", "{}{}{}{}", "{{{{{{{{ } {{{{", "{ { { x } {"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {(r.id, r.pattern): r.n for r in structure.audit(rows, "id", "text").collect()}
+    assert found == {(0, "large_tuple"): 1, (2, "nested_closure"): 1, (4, "nested_closure"): 2}
+    for t in texts:
+        assert [m.span() for m in re.finditer(r"\{[^}]*\{[^}]*\{[^}]*\{", t)] == [m.span() for m in re.finditer(structure.AUDITS["nested_closure"], t)]
