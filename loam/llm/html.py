@@ -7,7 +7,8 @@ each hundred characters up to three, to its parent, half of them to its
 grandparent and a third to the element above. An element's score starts from its
 tag and its class and id names and is discounted by its link density. The best
 container is kept together with siblings that score well or read like text;
-the result is the text of their blocks, one a line.
+the result is the text of their blocks, one a line. A form counts like any other
+container unless it holds less than FORM characters or mostly links.
 
 Defined results: NULL html gives NULL text and title and score 0; a page without
 any container gives the text of its body blocks outside navigation and the like,
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table, without
 
-PARAGRAPH = 25
+PARAGRAPH, FORM = 25, 250
 _TAG = re.compile(r"""<(?:(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"<]*+"|'[^'<]*+'|["'])*?)(/?)>|!--.*?(?:-->|\Z)|[!?][^>]*+>)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 _BAD = re.compile(r"\bad\b|\bads\b|advert|banner|comment|contact|cookie|foot|nav|menu|meta|promo|related|share|shopping|sidebar|social|sponsor|tags|widget|popup", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg".split())
-_SKIP = frozenset("nav footer aside form button select option dialog head title".split())
+_SKIP = frozenset("nav footer aside button select option dialog head title".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -76,6 +77,8 @@ def parse(html: str) -> tuple[Node, str]:
             if node is not None and node.up is not None:
                 at = node.up
             continue
+        if tag == "svg" and m[4]:
+            continue
         if tag in _RAW or tag == "title":
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
             if tag == "title" and end and not title:
@@ -127,6 +130,11 @@ def _skipped(node: Node) -> bool:
     return bool(node.names) and node.tag not in ("article", "main") and bool(_BAD.search(node.names)) and not _GOOD.search(node.names)
 
 
+def _bare_form(node: Node) -> bool:
+    """Whether a measured element is a form of little text or mostly links, such as a login or a search."""
+    return node.tag == "form" and (node.size < FORM or node.linked * 2 > node.size)
+
+
 def _flat(node: Node) -> str:
     """The text of an element, white space folded; iterative, as pages can nest deeply."""
     out, stack = [], [node]
@@ -176,14 +184,20 @@ def extract(html: str) -> tuple[str, str, float, int]:
     """(title, text, score of the best container, paragraphs that gave points)."""
     root, title = parse(html)
     nodes = _order(root)
+    dropped = False
     for node in reversed(nodes):
-        for part in node.parts:
+        own = [p for p in node.parts if isinstance(p, str) or not _bare_form(p)]
+        dropped |= len(own) < len(node.parts)
+        node.parts = own
+        for part in own:
             if isinstance(part, str):
                 node.size += len(part) if not part.isspace() else 0
             else:
                 node.size += part.size
                 node.linked += part.size if part.tag == "a" else part.linked
                 node.block |= part.block or part.tag in _BLOCK
+    if dropped:
+        nodes = _order(root)
     paragraphs = 0
     for node in nodes:
         if not (node.tag in ("p", "pre", "td") or (node.tag == "div" and not node.block)) or node.size < PARAGRAPH or node.up is None:

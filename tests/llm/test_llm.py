@@ -242,3 +242,16 @@ def test_language_model_words(spark):
         p = np.exp(language_model.word_log_probs(model, vocab, split, z, np.full(len(to), second), np.full(len(to), last), to))
         assert (p > 0).all() and 0.98 < p.sum() < 1.001  # the rest is for lengths that no rare word has
         assert np.ptp(p[[k for k, w in enumerate(counts) if w.startswith("once")]]) < 1e-9
+
+
+def test_html_forms_and_svg():
+    body = "This is a sentence of the article, with commas, that goes on for quite some time and says nothing. " * 2
+    page = f"<body><form id=aspnetForm><input type=hidden><div><p>{body}</p><p>{body}</p></div></form></body>"
+    assert html.extract(page)[1].count("sentence") == 4
+    assert html.extract("<form>" + "words of a page, without any paragraph <br>" * 10 + "</form>")[1].count("words of a page") == 10
+    login = "<form><p>Please type in your name, or your number.</p></form>"
+    links = "<form>" + "<p><a href=x>one of many links, all in a form</a></p>" * 20 + "</form>"
+    text = html.extract(f"<div>{login}<p>{body}</p>{links}</div>")[1]
+    assert "sentence" in text and "Please" not in text and "links" not in text
+    for svg in ("<svg class=i viewBox='0 0 1 1'/>", "<svg><path d=x /></svg>"):
+        assert html.extract(f"<div>{svg}<p>{body}</p></div>")[1].count("sentence") == 2
