@@ -58,6 +58,11 @@ def key_parts(df: DataFrame, key: str) -> tuple[Column, Column]:
     return col.isNull(), F.coalesce(col.cast("string"), F.lit(""))
 
 
+def row_id() -> Column:
+    """A 64-bit hash of doc_id, nulls kept apart, and text: the identity of a row, which only repeated rows share."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> tuple[list[str], list[int]]:
     """At most `bound` labelled texts, chosen by the hash of doc_id, with their 0/1 labels.
 

@@ -9,7 +9,8 @@ reordered passages count. Items shorter than a seed use their own length.
 
 Defined results: rows with a NULL or wordless text never match; rows that share
 a doc_id or item_id are tiled one by one, and the best coverage of a pair is
-kept; an empty table gives an empty result. Other columns are ignored.
+kept; rows without doc_id have no pairs, but the pipeline stage judges and drops
+them like others; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, row_id, table
 from .textkit import U, Words, mix, ngrams, slices, words
 
 SEED_WORDS = 5
@@ -237,9 +238,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without those that cover a benchmark item."""
-    hit = find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents without those that cover a benchmark item, each row judged by its own text."""
+    own = docs.select(row_id().alias("doc_id"), "text")
+    hit = find(own, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row_id()).join(hit, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op3_decontamination": op3_decontamination}

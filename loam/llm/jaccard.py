@@ -31,10 +31,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, prepare, table
+from .common import durable, prepare, row_id, table
 from .packed import bounded_set, by_part, joined, member, part_of, parts_for, split
 from .textkit import _BASE, U, mix, ngrams, order_by, slices, words
 
@@ -458,9 +458,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document, that with the least doc_id, of each group of near copies."""
-    gone = groups(docs).where("doc_id != kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: one row, that with the least doc_id, of each group of near copies; rows
+    without doc_id come last, and of rows that repeat a doc_id and text one stays.
+    """
+    marked = docs.withColumn("_row", row_id())
+    named = groups(docs.select(row_id().alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("kept").alias("group"))
+    rows = marked.where("text IS NOT NULL AND text != ''").groupBy("_row").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "_row")).over(Window.partitionBy("group"))
+    judged = rows.join(named, "_row", "left").where("group IS NOT NULL OR n > 1")
+    judged = durable(judged.withColumn("group", F.coalesce("group", "_row")).withColumn("first", first).select("_row", "n", (F.col("first._row") == F.col("_row")).alias("kept")))
+    once = marked.join(judged.where("NOT kept OR n > 1").select("_row"), "_row", "left_anti")
+    more = marked.join(judged.where("kept AND n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

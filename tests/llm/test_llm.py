@@ -255,3 +255,20 @@ def test_html_forms_and_svg():
     assert "sentence" in text and "Please" not in text and "links" not in text
     for svg in ("<svg class=i viewBox='0 0 1 1'/>", "<svg><path d=x /></svg>"):
         assert html.extract(f"<div>{svg}<p>{body}</p></div>")[1].count("sentence") == 2
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c, d, item = (_text(rng, 60, 5000) for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " edited"
+    rows = [(None, a), (4, near), (2, a), (None, b), (None, b), (7, c), (7, c), (7, d), (8, d), (None, None), (9, ""), (None, item), (10, item + " more"), (10, c + " " + b)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark, docs, "").collect()]
+    gone = [(None, a), (4, near), (None, b), (7, c), (8, d), (None, item)]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [(r.doc_id, r.text) for r in decontamination.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
