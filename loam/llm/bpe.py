@@ -28,8 +28,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from .common import prepare, table, without
+from .common import carry, others, prepare, table
 from .textkit import slices
 
 VOCABULARY = os.environ.get("LOAM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -219,33 +220,38 @@ def encode(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """docs without text, with tokens, n_tokens and exact (decoding gives the text back)."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(encoder or Encoder(read_ranks()))
-    rest = without(docs, "text", "tokens", "n_tokens", "exact").columns
-    own = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in rest])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
+    rest = others(docs, "text", "tokens", "n_tokens", "exact")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column(0), 4 << 20):
-                part = b.slice(lo, hi - lo)
-                ids, exact = encode_batch(shared.value, part.column(0))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pc.list_value_length(ids), exact], names=[*rest, "tokens", "n_tokens", "exact"])
+    def work(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for lo, hi in slices(b.column(0), 4 << 20):
+            part = b.slice(lo, hi - lo)
+            ids, exact = encode_batch(shared.value, part.column(0))
+            yield part, [ids, pc.list_value_length(ids), exact]
 
-    return own.mapInArrow(run, ", ".join(filter(None, [kinds, "tokens array<int>, n_tokens int, exact boolean"])))
+    return carry(docs, [F.col("text").cast("string")], rest, work, [("tokens", ArrayType(IntegerType())), ("n_tokens", IntegerType()), ("exact", BooleanType())])
 
 
 def decode(rows: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """rows (with a column tokens) with the decoded text; ids outside the vocabulary raise an error."""
+    """rows (with a column tokens) with the decoded text, in which bytes that aren't UTF-8 are replaced.
+
+    NULL tokens, and a list with a NULL or an id outside the vocabulary, give NULL.
+    """
     spark = prepare(rows.sparkSession)
     shared = spark.sparkContext.broadcast(encoder or Encoder(read_ranks()))
 
-    @F.pandas_udf("string")
-    def text(tokens):
-        def one(ids):
-            return None if ids is None else shared.value.decode(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
-
-        return tokens.map(one)
-
-    return rows.withColumn("text", text("tokens"))
+    def work(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        own, out = shared.value, []
+        for ids in b.column(0):
+            ids = ids.values if ids.is_valid else None
+            if ids is None or ids.null_count:
+                out.append(None)
+                continue
+            ids = np.asarray(ids, np.int64)
+            good = not len(ids) or (ids.min() >= 0 and ids.max() < len(own.tokens))
+            out.append(own.decode(ids).tobytes().decode("utf-8", "replace") if good else None)
+        yield b, [pa.array(out, pa.string())]
+
+    return carry(rows, [F.col("tokens").cast("array<int>")], others(rows, "text"), work, [("text", StringType())])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

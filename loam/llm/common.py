@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import visible
 
@@ -43,19 +46,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its plain name, whatever is in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df but those of these names."""
+    lower = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lower]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add under these names."""
-    lower = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+    return df.select(*[col(c) for c in others(df, *names)])
+
+
+Work = Callable[[pa.RecordBatch], Iterable[tuple[pa.RecordBatch, list[pa.Array]]]]
+
+
+def carry(df: DataFrame, inputs: list[Column], rest: list[str], work: Work, added: list[tuple[str, DataType]], each: Callable[[], Work] | None = None) -> DataFrame:
+    """The columns `rest` of df with added ones, in Arrow batches; names of any kind pass.
+
+    work is given a batch, in which the inputs come first and rest follows, and yields pieces of it, each
+    with its added columns; `each` makes a work for every task instead.
+    """
+    prepare(df.sparkSession)
+    n = len(inputs)
+    own = df.select(*[c.alias(f"i{k}") for k, c in enumerate(inputs)], *[col(c).alias(f"r{k}") for k, c in enumerate(rest)])
+    schema = StructType([StructField(f"r{k}", df.schema[c].dataType) for k, c in enumerate(rest)] + [StructField(f"a{k}", t) for k, (_, t) in enumerate(added)])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        do = each() if each else work
+        for b in batches:
+            for piece, columns in do(b):
+                yield pa.RecordBatch.from_arrays([*piece.columns[n:], *columns], names=names)
+
+    return own.mapInArrow(run, schema).toDF(*rest, *(name for name, _ in added))
 
 
 def key_parts(df: DataFrame, key: str) -> tuple[Column, Column]:
     """(is null, value without nulls) of a key column, for joins in which nulls match."""
     kind = df.schema[key].dataType.simpleString()
-    col = F.col(f"`{key}`")
+    own = col(key)
     if kind in ("tinyint", "smallint", "int", "bigint"):
-        return col.isNull(), F.coalesce(col.cast("long"), F.lit(0).cast("long"))
-    return col.isNull(), F.coalesce(col.cast("string"), F.lit(""))
+        return own.isNull(), F.coalesce(own.cast("long"), F.lit(0).cast("long"))
+    return own.isNull(), F.coalesce(own.cast("string"), F.lit(""))
 
 
 def row_id() -> Column:

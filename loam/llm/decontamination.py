@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, row_id, table
+from .common import col, fresh, prepare, row_id, table
 from .textkit import U, Words, mix, ngrams, slices, words
 
 SEED_WORDS = 5
@@ -239,9 +239,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without those that cover a benchmark item, each row judged by its own text."""
-    own = docs.select(row_id().alias("doc_id"), "text")
-    hit = find(own, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row_id()).join(hit, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, row = docs.select(row_id().alias("doc_id"), "text"), fresh(docs, "_row")
+    hit = find(own, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, row_id()).join(hit, row, "left_anti").select(*[col(c) for c in docs.columns])
 
 
 QUERIES = {"op3_decontamination": op3_decontamination}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, prepare, table
+from .common import carry, labelled, prepare, table
 from .textkit import raw, slices
 
 TRAIN_DOCS = 2000
@@ -222,17 +222,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier accepts, scored in place without a join."""
     net = fit(docs, table(spark, sf_dir, "labels"))
     shared = prepare(spark).sparkContext.broadcast(net)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each():
         own = shared.value
         own.pairs = _paired(own.taps)
-        for b in batches:
-            texts = b.column(at)
+
+        def work(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+            texts = b.column(0)
             p = np.concatenate([np.zeros(0), *(probabilities(own, texts.slice(lo, hi - lo)) for lo, hi in slices(texts))])
-            yield b.filter(pa.array(p >= THRESHOLD))
+            yield b.filter(pa.array(p >= THRESHOLD)), []
+
+        return work
 
-    return docs.mapInArrow(run, docs.schema)
+    return carry(docs, [F.col("text").cast("string")], docs.columns, None, [], each)
 
 
 QUERIES = {"op9_quality": op9_quality}

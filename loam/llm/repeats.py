@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
-from .common import durable, prepare, table
+from .common import carry, col, durable, fresh, prepare, table
 from .packed import bounded_set, by_part, joined, member, part_of, parts_for, split
 from .textkit import U, Words, mix, ngrams, prefix_sums, raw, slices, span_hash, words
 
@@ -324,41 +325,37 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """docs without the repeated spans; a text of which nothing is left goes. n_chars, if there, is counted anew."""
     names = docs.columns
-    gone = spans(docs).groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("uid").alias("__u"), "__spans")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("text").cast("string")))
-    both = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["__d"]) & (keyed["__k"] == gone["__u"]), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in names], "__spans")
-    at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marked = b.column(len(names))
-            hit = np.flatnonzero(~np.asarray(marked.is_null()))
-            cols = list(b.columns[: len(names)])
-            if len(hit):
-                texts, sizes, keep = b.column(at).to_pylist(), b.column(n_at).to_pylist() if n_at >= 0 else None, np.ones(b.num_rows, bool)
-                for r in hit.tolist():
-                    w = words(pa.array([texts[r]], pa.string()), False)
-                    body, left = texts[r].encode(), np.ones(len(w.hash), bool)
-                    for span in marked[r].as_py():
-                        left[span["start_word"] : span["end_word"]] = False
-                    if not left.any():
-                        keep[r] = False
-                        continue
-                    ends = np.r_[w.start[1:], len(body)]
-                    piece = [body[: w.start[0]]] + [body[w.start[i] : ends[j]] for i, j in _runs(left)]
-                    texts[r] = b"".join(piece).decode()
-                    if sizes:
-                        sizes[r] = len(texts[r])
-                cols[at] = pa.array(texts, b.schema.field(at).type)
-                if sizes:
-                    cols[n_at] = pa.array(sizes, b.schema.field(n_at).type)
-                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
-            else:
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return both.mapInArrow(run, docs.schema)
+    doc, uid, found = (fresh(docs, x) for x in ("_doc", "_uid", "_spans"))
+    gone = spans(docs).groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start_word", "end_word")).alias(found))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("uid").alias(uid), found)
+    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(uid)), "left")
+    rest = [c for c in names if c not in ("text", "n_chars")]
+    sized = "n_chars" in names
+
+    def work(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        marked, text, size = b.columns[:3]
+        hit = np.flatnonzero(~np.asarray(marked.is_null()))
+        if not len(hit):
+            yield b, [text, size]
+            return
+        texts, sizes, keep = text.to_pylist(), size.to_pylist(), np.ones(b.num_rows, bool)
+        for r in hit.tolist():
+            w = words(pa.array([texts[r]], pa.string()), False)
+            body, left = texts[r].encode(), np.ones(len(w.hash), bool)
+            for span in marked[r].as_py():
+                left[span["start_word"] : span["end_word"]] = False
+            if not left.any():
+                keep[r] = False
+                continue
+            ends = np.r_[w.start[1:], len(body)]
+            texts[r] = b"".join([body[: w.start[0]]] + [body[w.start[i] : ends[j]] for i, j in _runs(left)]).decode()
+            sizes[r] = len(texts[r])
+        mask = pa.array(keep)
+        yield b.filter(mask), [pa.array(texts, pa.string()).filter(mask), pa.array(sizes, pa.int64()).filter(mask)]
+
+    size = F.col("n_chars").cast("long") if sized else F.lit(None).cast("long")
+    cut_ = carry(both, [F.col(found), F.col("text").cast("string"), size], rest, work, [("text", StringType()), ("n_chars", LongType())])
+    return cut_.select(*[col(c).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else col(c) for c in names])
 
 
 def _runs(left: np.ndarray) -> list[tuple[int, int]]:

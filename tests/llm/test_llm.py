@@ -1,7 +1,10 @@
 """The llm operators against brute force on small fixtures, and their edge cases."""
 
+import io
 import random
 import re
+import struct
+import time
 from itertools import combinations
 
 import numpy as np
@@ -58,38 +61,112 @@ def test_jaccard_is_exact(docs):
 def test_signatures_meet(threshold):
     """Similar sets share a signature even if all n-grams count as frequent."""
     rng = np.random.default_rng(1)
-    counts = np.full(1 << jaccard.SKETCH_BITS, 5)
-    prefixes = jaccard.Prefixes(counts, threshold)
+    prefixes = jaccard.Prefixes(np.zeros(1 << 16, np.uint8), threshold)
     for frequent in (False, True):
-        prefixes.frequent[:] = frequent
+        prefixes.grades[:] = 2 | (jaccard._FREQUENT if frequent else 0)
         for n in (1, 2, 3, 7, 20, 60, 300):
             for _ in range(20):
                 a = np.unique(rng.integers(0, 1 << 58, n).astype(np.uint64))
                 drop = int(len(a) * (1 - threshold))
                 b = np.sort(rng.permutation(a)[: len(a) - drop])
                 h, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-                sig, row = prefixes.signatures(h, first)
+                sig, row, _ = prefixes.signatures(h, first)
                 if len(b) / len(a) >= threshold:
                     assert set(sig[row == 0]) & set(sig[row == 1])
 
 
-def test_groups_keep_one(docs):
-    want, parent = _pairs(docs), {}
+def _classes(docs):
+    """(class_id, links) by doc_id, by brute force over records, that is, distinct pairs of doc_id and set."""
+    records = sorted({(r.doc_id, frozenset(_grams(r.text))) for r in docs.collect() if r.doc_id is not None and _grams(r.text)}, key=lambda x: (x[0], len(x[1])))
+    links, parent = {}, {}
 
     def top(x):
         while parent.setdefault(x, x) != x:
             x = parent[x]
         return x
 
-    for a, b in want:
-        a, b = top(a), top(b)
-        parent[max(a, b)] = min(a, b)
-    got = {r.doc_id: r.kept for r in jaccard.groups(docs).collect()}
-    assert got == {x: top(x) for x in parent}
+    for (i, a), (j, b) in combinations(records, 2):
+        if len(a & b) >= jaccard.THRESHOLD * len(a | b):
+            links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+            x, y = top(i), top(j)
+            parent[max(x, y)] = min(x, y)
+    return {i: (top(i), n) for i, n in links.items()}
+
+
+def _got(docs):
+    return {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(docs).collect()}
+
+
+def test_classes_are_exact(docs):
+    want = _classes(docs)
+    assert len(want) > 20
+    assert _got(docs) == want
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """A large group of near copies, some of them equal, a chain of neighbours, and texts that share a passage."""
+    rng = random.Random(12)
+    base, passage = _text(rng, 120, 3000).split(), _text(rng, 55, 6000)
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    chain = [f"c{k}" for k in range(200)]
+    rows += [(200 + k, " ".join(chain[8 * k : 8 * k + 60])) for k in range(17)]
+    rows += [(300 + k, _text(rng, 150, 5000) + " " + passage) for k in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("block", [1_000_000, 3000])
+def test_classes_of_copies(copies, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    want = _classes(copies)
+    assert max(n for _, n in want.values()) > 50
+    assert _got(copies) == want
+
+
+@pytest.mark.parametrize("tile, columns", [(512, 8192), (7, 5)])
+def test_tiles(monkeypatch, tile, columns):
+    monkeypatch.setattr(jaccard, "_TILE", tile)
+    monkeypatch.setattr(jaccard, "_COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(40)]
+    for left, right in ((every := np.arange(40), every), (np.arange(0, 40, 2), np.arange(1, 40, 2)), (np.arange(40), np.arange(0))):
+        got = {(int(a), int(b)): v for x in jaccard.similar(sets, left, right, 0.5) for a, b, v in zip(*x)}
+        pairs = combinations(range(40), 2) if len(left) == len(right) == 40 else [(int(a), int(b)) for a in left for b in right]
+        value = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in pairs}
+        assert got == pytest.approx({k: v for k, v in value.items() if v >= 0.5})
+
+
+def test_pairs_of_copies(copies):
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.join(copies).collect()} == pytest.approx(_pairs(copies))
+
+
+def test_frequent_classes(copies, monkeypatch):
+    """Results stay when every n-gram counts as frequent, so that only combinations are indexed."""
+    monkeypatch.setattr(jaccard, "RARE", -1)
+    assert _got(copies) == _classes(copies)
+
+
+def test_jaccard_other_columns(copies):
+    odd = copies.selectExpr("*", "doc_id AS id", "text AS label", "1 AS part", "2 AS `a.b`", "map('k', 1) AS x")
+    assert _got(odd) == _classes(copies)
+
+
+@pytest.mark.parametrize("mean", [3, 200])
+def test_sketch_gaps(mean):
+    values = np.sort(np.random.default_rng(1).integers(0, 1000 * mean, 1000))
+    assert np.array_equal(jaccard._ungap(jaccard._gaps(values)), values)
+    assert len(jaccard._ungap(jaccard._gaps(values[:0]))) == 0
 
 
 def test_jaccard_empty(docs):
     assert jaccard.join(docs.limit(0)).count() == 0
+    assert jaccard.classes(docs.limit(0)).count() == 0
+    assert jaccard.classes(docs.where("doc_id IS NULL OR text = ''")).count() == 0
 
 
 def _windows(rows):
@@ -182,11 +259,157 @@ def test_html():
     assert html.extract("")[1] == ""
 
 
-def test_media_round_trip():
-    rng = np.random.default_rng(6)
-    pixels = rng.integers(0, 256, (9, 13, 3)).astype(np.uint8)
-    assert np.array_equal(media.decode(media.encode_bmp(pixels)), pixels)
-    assert np.array_equal(media.decode(media.encode_netpbm(pixels, 6)), pixels)
+@pytest.mark.parametrize(
+    "page",
+    ["<a " + '""' * 20, "<a " + '""' * 250_000, "<a " * 300_000, "<table><tr><td>some text, here and there " * 20_000, "<b>" * 50_000 + "</i>" * 200_000, "<b>" * 50_000 + "<li></li>" * 100_000, "<b>" * 50_000 + "<ul>" * 100_000]
+    + ["<title>" * 140_000, "<!" * 500_000, "<pre>word, word, word, word, word" * 30_000, "<a \"'\"<a '\"'" * 80_000, "<p class" + " " * 500_000 + ">", "<" * 1_000_000, "&" * 1_000_000],
+)
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 4  # about 1 s a MB where nothing else runs
+
+
+def test_html_tags_and_ends():
+    body = "Here is a sentence of some length, with a comma in it."
+    assert html.extract(f'<div><p title="x < y">{body}</p></div>')[1] == body
+    assert html.extract(f'<div class="a>{body}</div>')[1] == body
+    assert html.extract("<ul><li>one <b>two<li>three</ul>")[1].split("\n") == ["one two", "three"]
+    assert html.extract("<table><tr><td>a<td>b<tr><td>c</table>")[1].split("\n") == ["a", "b", "c"]
+    assert html.extract("a <b> </i> c </b> < d")[1] == "a c < d"
+
+
+def _scores(page):
+    """Container scores by the rule of the docstring, from the tree alone, text by text."""
+    root, _ = html.parse(page)
+    nodes = html._order(root)
+
+    def strings(node, links=False):
+        for p in node.parts:
+            if isinstance(p, str):
+                if not links and p.strip():
+                    yield re.sub(r"\s+", " ", p)
+            elif links and p.tag == "a":
+                yield from strings(p)
+            else:
+                yield from strings(p, links)
+
+    def has_block(node):
+        return any(not isinstance(p, str) and (p.tag in html._BLOCK or has_block(p)) for p in node.parts)
+
+    def density(node):
+        return sum(map(len, strings(node, True))) / max(1, sum(map(len, strings(node))))
+
+    score = {}
+    for node in nodes:
+        n, commas = sum(map(len, strings(node))), sum(s.count(",") for s in strings(node))
+        if node.up is None or n < html.PARAGRAPH or not (node.tag in ("p", "pre", "td") or node.tag == "div" and not has_block(node)):
+            continue
+        up = node.up
+        for share in (1, 2, 3):
+            if up is not None:
+                start = html._START.get(up.tag, 0) + 25 * bool(html._GOOD.search(up.names)) - 25 * bool(html._BAD.search(up.names))
+                score[id(up)] = score.get(id(up), start) + (1 + commas + min(n // 100, 3)) * (1 - density(node)) / share
+                up = up.up
+    return max([score[id(n)] * (1 - density(n)) for n in nodes if id(n) in score], default=0.0)
+
+
+def test_html_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for _ in range(60):
+        parts = [rng.choice(["<div>", "</div>", "<div class=story>", "<p>", "</p>", "<td>", "<ul>", "<li>", "<a href=x>", "</a>", "<span>", "some words, and a few more of them ", "x, y ", "&amp; "]) for _ in range(60)]
+        pages.append("".join(parts))
+    for page in pages:
+        if page and "<form" not in page and "&" not in page:
+            assert html.extract(page)[2] == pytest.approx(_scores(page))
+
+
+def test_html_pages(spark):
+    rows = [(1, None, "a"), (2, "", "b"), (2, "", "b"), (3, "<p>" + "long text, " * 200_000, "c"), (None, "<div><p>Some words, that make a paragraph of a page.</p></div>", "d")]
+    out = html.extract_pages(spark.createDataFrame(rows, "page_id long, html string, `text` string").selectExpr("*", "1 AS score", "2 AS `a.b`"))
+    assert out.columns == ["page_id", "a.b", "title", "text", "score", "paragraphs"]
+    got = [(r.page_id, r.title, r.text and len(r.text), r.paragraphs) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, None, None, 0), (2, "", "", 0), (2, "", "", 0), (3, "", 2_199_999, 1), (None, "", 44, 1)], key=repr)
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def _grid(seed, h, w, c):
+    return np.random.default_rng(seed).integers(0, 256, (h, w, c)).astype(np.uint8)
+
+
+def test_media_kinds():
+    colour, grey_, bits = _grid(6, 9, 13, 3), _grid(7, 9, 13, 1), _grid(8, 9, 13, 1) // 128 * 255
+    for image, data in [
+        *[(colour, media.encode_netpbm(colour, k)) for k in (3, 6, 7)], *[(grey_, media.encode_netpbm(grey_, k)) for k in (2, 5, 7)], *[(bits, media.encode_netpbm(bits, k)) for k in (1, 4)],
+        (colour, media.encode_netpbm(colour, 6, 65535)), (grey_, media.encode_netpbm(grey_, 2, 65535)), (colour, media.encode_bmp(colour)), (colour, media.encode_bmp(colour, 32)),
+        (np.repeat(grey_, 3, 2), media.encode_bmp(grey_, 8)), (np.repeat(bits, 3, 2), media.encode_bmp(bits, 1)), (np.repeat(grey_ // 17 * 17, 3, 2), media.encode_bmp(grey_ // 17 * 17, 4)),
+    ]:
+        assert np.array_equal(media.decode(data), image)
+        assert np.array_equal(media.decode(data[:2] + data[2:].replace(b"# tile", b"#")), image)
+
+
+def test_media_packed_and_old_bmp():
+    palette = b"".join(bytes([k, 0, 255 - k, 0]) for k in range(256))
+    head = lambda bits, packing, size: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 4 * (1 << bits)) + struct.pack("<IiiHHIIiiII", 40, 5, 2, 1, bits, packing, size, 0, 0, 0, 0) + palette[: 4 << bits]
+    eight = head(8, 1, 0) + bytes([3, 9, 0, 3, 1, 2, 3, 0, 0, 0, 0, 2, 1, 0, 2, 7, 0, 1])
+    assert media.decode(eight)[:, :, 2].tolist() == [[0, 7, 7, 0, 0], [9, 9, 9, 1, 2]]
+    four = head(4, 2, 0) + bytes([4, 0x12, 0, 0, 0, 3, 0x34, 0x50, 0, 1])
+    assert media.decode(four)[:, :, 2].tolist() == [[3, 4, 5, 0, 0], [1, 2, 1, 2, 0]]
+    old = b"BM" + struct.pack("<IHHI", 0, 0, 0, 32) + struct.pack("<IHHHH", 12, 3, 1, 1, 1) + bytes([1, 2, 3, 4, 5, 6]) + bytes([0b01000000, 0, 0, 0])
+    assert media.decode(old).tolist() == [[[3, 2, 1], [6, 5, 4], [3, 2, 1]]]
+    short = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 16, 0, 0, 0, 0, 0, 0) + struct.pack("<HH", 0x7C00, 0x1F)
+    assert media.decode(short).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+
+
+def _area(image, height, width):
+    """Area means pixel by pixel."""
+    h, w, c = image.shape
+    out = np.zeros((height, width, c))
+    for y in range(height):
+        for x in range(width):
+            for i in range(h):
+                for j in range(w):
+                    share = max(0, min((y + 1) * h / height, i + 1) - max(y * h / height, i)) * max(0, min((x + 1) * w / width, j + 1) - max(x * w / width, j))
+                    out[y, x] += image[i, j] * share
+    return out / (h / height * w / width)
+
+
+@pytest.mark.parametrize("block", [1 << 18, 40, 7, 1])
+@pytest.mark.parametrize("h, w, c", [(9, 13, 3), (1, 1, 1), (3, 40, 1), (16, 16, 3), (37, 2, 3)])
+def test_media_resize_and_hash(monkeypatch, block, h, w, c):
+    monkeypatch.setattr(media, "BLOCK", block)
+    image = _grid(h * w, h, w, c)
+    want = _area(image, 5, 4)
+    assert np.allclose(media.resize(image, 5, 4), want)
+    tile, bits = media.tile_of(media.opened(media.encode_netpbm(image, 6 if c == 3 else 5)), 5)
+    assert np.abs(tile - _area(image, 5, 5)).max() < 0.500001
+    small = np.rint(_area(media.grey(image), 8, 9)[:, :, 0] * 256)
+    want_bits = sum(1 << (63 - 8 * y - x) for y in range(8) for x in range(8) if small[y, x] > small[y, x + 1])
+    assert bits == want_bits - (1 << 64 if want_bits >> 63 else 0) == media.dhash(image)
+
+
+def test_media_rows(spark, tmp_path):
+    good = _grid(1, 4, 6, 3)
+    bad = [b"", b"x", b"P6", b"P5\n9 9\n255\n", b"P2 2 1 255 " + b"9" * 30 + b" 1", b"P2 2 1 255 1 x", b"P2 2 1 255 256 1", b"P5 " + b"9" * 40 + b" 1 255 ", b"P4 99999999 99999999 1", b"P7\nWIDTH x\nENDHDR\n", b"BM" + b"\0" * 60, media.encode_bmp(good)[:-5]]
+    bad.append(b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1 << 30, 1 << 30, 1, 8, 1, 0, 0, 0, 0, 0) + b"\0" * 2000)
+    large = b"P4 32768 8192\n" + b"\0" * (1 << 25)
+    rows = [(k, x, "t", k) for k, x in enumerate([None, media.encode_bmp(good), media.encode_bmp(good), large, *bad])]
+    out = media.tiles(spark.createDataFrame(rows, "id long, media binary, tile string, `a.b` int"), size=3)
+    assert out.columns == ["id", "a.b", "width", "height", "channels", "tile", "dhash", "error"]
+    got = {r.id: r for r in out.collect()}
+    assert got[0].error is None and got[0].tile is None and got[1].tile == got[2].tile and got[3].width == 32768
+    assert all(got[k].error and got[k].width is None and got[k].tile is None for k in range(4, len(rows)))
+    assert np.abs(np.load(io.BytesIO(got[1].tile)) - _area(good, 3, 3)).max() < 0.500001
+    assert media.write_npy(out, str(tmp_path), "id") == 3
+    assert (tmp_path / "1.npy").read_bytes() == bytes(got[1].tile)
+    assert media.tiles(out.select("id", "tile").limit(0), "tile").count() == 0
+
+
+def test_media_pictures(spark):
+    rows = spark.createDataFrame([(k, [0.1 * k, 1.0, -1.0, None]) for k in range(26)] + [(None, [1.0]), (50, []), (51, None)], "vec_id long, embedding array<double>")
+    out = media.tiles(media.pictures(rows))
+    assert out.where("error IS NOT NULL").count() == 0 and out.where("tile IS NULL").count() == 2
 
 
 def _labelled(spark, sf="/root/testdata/sf0.1"):
