@@ -14,7 +14,7 @@ n-grams of all documents.
 Defined results: a NULL, empty or wordless text has probability 0; without labels
 of both classes every other text gets the share of toxic ones (0 if there are
 none); repeated rows are scored alike; an empty table gives an empty result.
-Other input columns are ignored.
+Texts are scored whole. Other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -112,6 +112,27 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     return p
 
 
+#: Averages of many n-grams are small; the scale lets the softmax see them.
+_SCALE = np.float32(50)
+
+
+def bag(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct buckets of a text's n-grams, weight of each in its mean)."""
+    u, c = np.unique(g, return_counts=True)
+    return u, (c / (len(g) + BLANKS)).astype(np.float32) * _SCALE
+
+
+def gradients(emb: np.ndarray, soft: np.ndarray, bias: np.ndarray, ids: np.ndarray, part: np.ndarray, begin: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients of the weighted mean cross entropy: (by text for each of its buckets, before its part; softmax; bias)."""
+    mean = np.add.reduceat(emb[ids] * part[:, None], begin, axis=0)
+    z = mean @ soft + bias
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=1, keepdims=True)
+    d = (p - target) * weight[:, None] / len(target)
+    return d @ soft.T, mean.T @ d, d.sum(0)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Joint training by gradient steps over mini-batches; both classes weigh the same."""
     y = np.asarray(labels, np.int64)
@@ -121,39 +142,33 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     bags = []
     for lo in range(0, len(texts), 256):
         g, first = grams(pa.array(texts[lo : lo + 256], pa.string()))
-        for a, b in zip(first[:-1], first[1:]):
-            u, c = np.unique(g[a:b], return_counts=True)
-            bags.append((u, (c / (b - a + BLANKS)).astype(np.float32)))
+        bags += [bag(g[a:b]) if b > a else (np.zeros(1, np.int64), np.zeros(1, np.float32)) for a, b in zip(first[:-1], first[1:])]
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     target = np.eye(2, dtype=np.float32)[y]
-    # Averages of many n-grams are small; the scale lets the softmax see them.
-    scale = np.float32(50)
+    # Embeddings are shrunk times emb, so that decay is one product; a step changes only buckets that its texts have.
+    shrunk, place = 1.0, np.zeros(BUCKETS, np.int64)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - 0.9 * epoch / EPOCHS)
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             ids = np.concatenate([bags[r][0] for r in rows])
-            part = np.concatenate([bags[r][1] for r in rows]) * scale
+            part = np.concatenate([bags[r][1] for r in rows])
             size = np.array([len(bags[r][0]) for r in rows])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            total = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(emb[ids] * part[:, None], axis=0, dtype=np.float64)])
-            mean = (total[ends[1:]] - total[ends[:-1]]).astype(np.float32)
-            z = mean @ soft + bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - target[rows]) * weight[rows][:, None] / len(rows)
-            back = np.repeat(d @ soft.T, size, axis=0) * part[:, None]
-            ge = np.stack([np.bincount(ids, back[:, k], BUCKETS) for k in range(DIM)], axis=1).astype(np.float32)
-            emb -= rate * ge
-            emb *= 1 - rate * DECAY
-            soft -= 0.1 * rate * (mean.T @ d)
-            bias -= 0.1 * rate * d.sum(0)
+            back, gs, gb = gradients(emb, soft, bias, ids, part * np.float32(shrunk), np.cumsum(size) - size, target[rows], weight[rows])
+            seen = np.zeros(BUCKETS, bool)
+            seen[ids] = True
+            own = np.flatnonzero(seen)
+            place[own] = np.arange(len(own))
+            at, each = place[ids], np.repeat(back, size, axis=0) * part[:, None]
+            emb[own] -= np.float32(rate / shrunk) * np.stack([np.bincount(at, each[:, k], len(own)) for k in range(DIM)], axis=1).astype(np.float32)
+            shrunk *= 1 - rate * DECAY
+            soft -= 0.1 * rate * gs
+            bias -= 0.1 * rate * gb
     side = soft[:, 1] - soft[:, 0]
-    return Model((emb @ side * scale).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((emb @ side * _SCALE * np.float32(shrunk)).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
