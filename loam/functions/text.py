@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+#: Paths that look like credentials.
+SECRETS_PATTERN = r"(^|/)(id_(rsa|dsa|ed25519)|\.env(\..+)?|credentials(\.json)?|.+\.(pem|p12|key|keystore))$"
 TEST_MARKS = r"/tests?/|/spec/|[_-](test|spec)\.|\.(test|spec)\."
 _LABELS = {
     "Swift": "swift",
@@ -110,13 +112,68 @@ def feature_tags(path: Column, words: list[str], extra: Column | None = None) ->
     return F.array_sort(F.array_distinct(F.concat(own, extra) if extra is not None else own))
 
 
+#: Path words that make feature tags.
+FEATURES = tuple("agent ast brew chain chunk config distributed embed git github handler index mcp model rag search service swarm template tool view vm worktree".split())
+METADATA = "imports array<string>, superclass string, protocols array<string>, mixins array<string>, typeReferences array<string>, frameworks array<string>, usesEmberConcurrency boolean, hasTemplate boolean"
+
+
+def metadata(col: Column) -> Column:
+    """The fields of a chunk's JSON metadata; NULL for anything else."""
+    return F.from_json(col, METADATA)
+
+
+def file_tags(path: Column, language: Column, meta: Column) -> Column:
+    """Feature tags of a file: path words, the frameworks and flags of its chunks' metadata (an array of them), and its language."""
+    frameworks = F.flatten(F.transform(meta, lambda m: F.coalesce(m["frameworks"], F.array().cast("array<string>"))))
+    flag = lambda field, tag: F.when(F.exists(meta, lambda m: F.coalesce(m[field], F.lit(False))), F.array(F.lit(tag))).otherwise(F.array().cast("array<string>"))
+    extra = F.concat(F.transform(frameworks, F.lower), flag("usesEmberConcurrency", "ember-concurrency"), flag("hasTemplate", "glimmer"), F.array(F.lower(language)))
+    return feature_tags(path, list(FEATURES), extra)
+
+
+def import_kind(path: Column, language: Column) -> Column:
+    """The kind of dependency that an import is: frameworks in Swift, inherit or require in Ruby, else import."""
+    lang = F.lower(language)
+    return F.when(lang == "swift", "framework").when((lang == "ruby") & F.contains(path, F.lit("::")), "inherit").when(lang == "ruby", "require").otherwise("import")
+
+
+def now_text() -> Column:
+    """The time as ISO text in UTC, with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def random_id() -> Column:
+    """32 random hex digits."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def packed_list(*parts: Column) -> Column:
+    """An aggregate that lists structs of the parts in order, where text with separators would do elsewhere."""
+    return F.array_sort(F.collect_list(F.struct(*parts)))
+
+
+def for_embedding(col: Column, model: str) -> Column:
+    """The text that a model is given: 8,000 characters for the long-context ones, 2,000 for others."""
+    return F.substring(col, 1, 8000 if "qwen3-embedding" in model else 2000)
+
+
 def json_list(col: Column) -> Column:
     """A JSON array of text; anything else gives an empty list."""
     return F.coalesce(F.from_json(col, "array<string>"), F.array().cast("array<string>"))
 
 
-def symbol_kind(col: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(col)), "decl$", "")
+#: Kinds of constructs that define a symbol.
+SYMBOL_KINDS = frozenset(
+    "class struct enum protocol trait interface extension actor module namespace".split()
+    + "function method subscript init deinit operator macro".split()
+    + "typealias type variable constant property modifier mixin".split()
+    + "component controller helper model route service".split()
+)
+
+
+def symbol_kind(col: Column, checked: bool = False) -> Column:
+    """A construct type in its plain form, without decl; NULL for one that defines nothing, if checked."""
+    kind = F.regexp_replace(F.lower(F.trim(F.coalesce(col, F.lit("unknown")))), "decl$", "") if checked else F.regexp_replace(F.lower(F.trim(col)), "decl$", "")
+    return F.when(kind.isin(*sorted(SYMBOL_KINDS)), kind) if checked else kind
 
 
 def snippet(col: Column, n: int = 300) -> Column:

@@ -42,12 +42,48 @@ def vec_type(kind: str) -> Column:
     return F.lit({"array<float>": "float32", "array<tinyint>": "int8", "binary": "bit"}[kind])
 
 
-def vec_add(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _same_size(a: Column | str, b: Column | str, value: Column) -> Column:
+    return F.when(F.size(a) == F.size(b), value).when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different dimensions")))
 
 
-def vec_sub(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+def _wrapped(x: Column) -> Column:
+    """An int8 sum as it comes out in 8 bits."""
+    return (F.pmod(x + 128, F.lit(256)) - 128).cast("tinyint")
+
+
+def vec_add(a: Column | str, b: Column | str, kind: str = "float32") -> Column:
+    """Sums by element; int8 ones wrap around."""
+    if kind == "int8":
+        return _same_size(a, b, F.zip_with(a, b, lambda x, y: _wrapped(x.cast("int") + y.cast("int"))))
+    return _same_size(a, b, F.zip_with(a, b, lambda x, y: x + y))
+
+
+def vec_sub(a: Column | str, b: Column | str, kind: str = "float32") -> Column:
+    if kind == "int8":
+        return _same_size(a, b, F.zip_with(a, b, lambda x, y: _wrapped(x.cast("int") - y.cast("int"))))
+    return _same_size(a, b, F.zip_with(a, b, lambda x, y: x - y))
+
+
+def _sum(col: Column, kind: str = "double") -> Column:
+    return F.aggregate(col, F.lit(0).cast(kind), lambda s, x: s + x)
+
+
+def vec_distance_l2(a: Column | str, b: Column | str) -> Column:
+    """Root of the summed squares of differences of two columns; different dimensions are an error."""
+    return _same_size(a, b, F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)))))
+
+
+def vec_distance_l1(a: Column | str, b: Column | str, kind: str = "float32") -> Column:
+    """Summed differences of two columns, a whole number for int8."""
+    wide = "long" if kind == "int8" else "double"
+    return _same_size(a, b, _sum(F.zip_with(a, b, lambda x, y: F.abs(x.cast(wide) - y.cast(wide))), wide))
+
+
+def vec_distance_cosine(a: Column | str, b: Column | str) -> Column:
+    """One minus the cosine of two columns; NULL for a zero vector."""
+    dot = lambda x, y: _sum(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return _same_size(a, b, F.when(norms > 0, 1 - dot(a, b) / norms))
 
 
 def vec_slice(col: Column | str, start: int, end: int) -> Column:
@@ -100,15 +136,48 @@ def vec_to_json(col: Column | str) -> Column:
     return F.concat(F.lit("["), F.array_join(text, ","), F.lit("]"))
 
 
-def vec_each(col: Column | str) -> Column:
-    """A generator of (pos, value), one row an element."""
-    return F.posexplode(col)
+def vec_each(col: Column | str, kind: str = "float32") -> Column:
+    """A generator of (pos, value), one row an element; bits come most significant first."""
+    return F.posexplode(bits_of(col) if kind == "bit" else col)
+
+
+def bits_of(col: Column | str) -> Column:
+    """The bits 0 and 1 of a binary column, most significant of each byte first."""
+    own = F.hex(col)
+    digits = F.transform(F.sequence(F.lit(1), F.octet_length(col) * 2), lambda k: F.conv(F.substring(own, k, F.lit(1)), 16, 10).cast("int"))
+    four = F.transform(digits, lambda d: F.array(*[F.call_function("shiftright", d, F.lit(k)).bitwiseAND(F.lit(1)) for k in (3, 2, 1, 0)]))
+    return F.when(F.octet_length(col) > 0, F.flatten(four)).when(F.octet_length(col) == 0, F.array().cast("array<int>"))
 
 
 def vec_version() -> Column:
     return F.lit("loam-1")
 
 
+def vec_debug() -> Column:
+    """Build facts, one a line."""
+    return F.lit(f"Version: loam-1\nNumPy: {np.__version__}")
+
+
+def encode_vector(col: Column | str) -> Column:
+    """Little-endian float32 bytes of a vector."""
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(col)
+
+
+def decode_vector(col: Column | str) -> Column:
+    """The vector of such bytes; NULL if their number isn't divisible by four."""
+
+    @F.pandas_udf("array<float>")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+    return run(col)
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Similarity of two columns over the shorter length, with a denominator of at least 1e-3; 0 for empty ones."""
     n = F.least(F.size(a), F.size(b))
@@ -145,4 +214,5 @@ def distance_to(col: Column | str, query: Sequence[float], metric: str = "cosine
             out[fits] = _distances(np.stack(vectors[fits].to_numpy()).astype(float), q, metric)
         return pd.Series(out).astype("Float64")
 
-    return F.nanvl(run(F.col(col) if isinstance(col, str) else col), F.lit(None).cast("double"))
+    # Not deterministic to the optimizer, so that a filter on the distance doesn't work it out a second time.
+    return F.nanvl(run.asNondeterministic()(F.col(col) if isinstance(col, str) else col), F.lit(None).cast("double"))

@@ -32,11 +32,11 @@ def prune(rows: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 
 def delete_under(rows: DataFrame, path: str, prefixes: Sequence[str]) -> DataFrame:
-    """Rows not under one of the directories; blank prefixes delete nothing, % and _ are ordinary."""
+    """Rows not within one of the directories (a file of that very path stays); blank prefixes delete nothing, % and _ are ordinary."""
     own = [p for p in (x.strip().strip("/") for x in prefixes) if p]
     cond = F.lit(False)
     for p in own:
-        cond = cond | F.startswith(F.col(path), F.lit(p + "/")) | (F.col(path) == p)
+        cond = cond | F.startswith(F.col(path), F.lit(p + "/"))
     return rows.where(~F.coalesce(cond, F.lit(False)))
 
 

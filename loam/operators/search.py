@@ -46,12 +46,15 @@ def recent_hints(hints: DataFrame, at: str, key: str, limit: int = 20) -> DataFr
 
 
 def match_lessons(lessons: DataFrame, signature: str | None = None, pattern: str | None = None, limit: int = 10) -> DataFrame:
-    """Active lessons by parts of error_signature and file_pattern (a lesson without a pattern fits every file), surest first."""
+    """Active lessons by parts of error_signature and file_pattern (a lesson without a pattern fits every file), surest first.
+
+    Case doesn't matter; % and _ are wildcards.
+    """
     found = lessons.where("is_active")
     if signature:
-        found = found.where(F.contains(F.col("error_signature"), F.lit(signature)))
+        found = found.where(F.col("error_signature").ilike(f"%{signature}%"))
     if pattern:
-        found = found.where(F.col("file_pattern").isNull() | F.contains(F.col("file_pattern"), F.lit(pattern)))
+        found = found.where(F.col("file_pattern").isNull() | F.col("file_pattern").ilike(f"%{pattern}%"))
     return found.orderBy(F.desc("confidence"), F.desc("success_count"), "id").limit(limit)
 
 
@@ -65,3 +68,21 @@ def use_lesson(lessons: DataFrame, id_: Column, success: Column) -> DataFrame:
             "confidence": F.when(bad, F.greatest(F.lit(0.1), F.col("confidence") - 0.1)).otherwise(F.col("confidence")),
         }
     )
+
+
+def list_lessons(lessons: DataFrame, inactive: bool = False, limit: int = 50) -> DataFrame:
+    """Lessons, active ones unless asked for all, latest change first."""
+    return (lessons if inactive else lessons.where("is_active")).orderBy(F.desc("updated_at"), "id").limit(limit)
+
+
+def get_lesson(lessons: DataFrame, id_) -> DataFrame:
+    return lessons.where(F.col("id") == id_)
+
+
+def search_chunks(chunks: DataFrame, files: DataFrame, repos: DataFrame, query: str, match_all: bool = True, limit: int = 10, repo: str | None = None, module: str | None = None) -> DataFrame:
+    """Chunks with words of the query in text, construct name or summary, with their file and repository, by path and line."""
+    files = files.where(F.col("repo_id") == repo) if repo is not None else files
+    star = chunks.join(files, "file_id").join(F.broadcast(repos), "repo_id")
+    order = ["path", "start_line", "chunk_id"]
+    found = text_search(star, query, ["text", "construct_name", "summary"], match_all, limit, order, ("module_path", module) if module else None)
+    return found.withColumn("path", F.concat_ws("/", "root_path", "path"))

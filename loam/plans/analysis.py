@@ -36,8 +36,8 @@ def constructs(spark, sf_dir):
 _C = "c AS (SELECT p_partkey, p_name AS construct_name, p_type AS construct_type, p_brand AS path, p_size::BIGINT AS tokens FROM part)"
 
 
-@register("duplicates", f"""WITH {_C}, f AS (SELECT construct_name, construct_type, path, sum(tokens)::BIGINT AS tokens FROM c GROUP BY ALL HAVING sum(tokens) >= 5)
-SELECT construct_name, construct_type, count(*) AS files, sum(tokens)::BIGINT AS total, (sum(tokens) - sum(tokens) // count(*))::BIGINT AS wasted FROM f GROUP BY ALL HAVING count(*) > 1 ORDER BY total DESC, construct_name, construct_type LIMIT 20""")
+@register("duplicates", f"""WITH {_C}, f AS (SELECT construct_name, construct_type, path, sum(tokens)::BIGINT AS tokens FROM c WHERE tokens >= 5 GROUP BY ALL)
+SELECT construct_name, construct_type, count(*) AS files, sum(tokens)::BIGINT AS total, (sum(tokens) - sum(tokens) // count(*))::BIGINT AS wasted, NULL::VARCHAR AS any_summary, list(path ORDER BY tokens DESC, path) AS paths FROM f GROUP BY ALL HAVING count(*) > 1 ORDER BY total DESC, construct_name, construct_type LIMIT 20""")
 def duplicates(spark, sf_dir):
     return A.duplicates(constructs(spark, sf_dir), 5)
 
@@ -45,7 +45,7 @@ def duplicates(spark, sf_dir):
 _SUFFIX = ("e", "n", "d")
 
 
-@register("naming_patterns", f"""WITH {_C}, s AS (SELECT *, CASE WHEN ends_with(construct_name, 'e') AND length(construct_name) > 1 THEN 'e' WHEN ends_with(construct_name, 'n') AND length(construct_name) > 1 THEN 'n' WHEN ends_with(construct_name, 'd') AND length(construct_name) > 1 THEN 'd' END AS suffix FROM c)
+@register("naming_patterns", f"""WITH {_C}, s AS (SELECT *, CASE WHEN ends_with(construct_name, 'e') AND length(construct_name) > 1 THEN 'e' WHEN ends_with(construct_name, 'n') AND length(construct_name) > 1 THEN 'n' WHEN ends_with(construct_name, 'd') AND length(construct_name) > 1 THEN 'd' END AS suffix FROM c WHERE construct_type IS NOT NULL)
 SELECT suffix, count(*) AS n, sum(tokens)::BIGINT AS tokens, array_to_string(list_sort(list_distinct(list(construct_name)))[1:5], '|') AS samples FROM s WHERE suffix IS NOT NULL GROUP BY suffix HAVING count(*) >= 2""")
 def naming_patterns(spark, sf_dir):
     return A.patterns(constructs(spark, sf_dir), _SUFFIX)
@@ -131,10 +131,10 @@ def store_stats(spark, sf_dir):
 
 
 def edges(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"))
 
 
-_E = "e AS (SELECT l_partkey AS source, l_suppkey AS target, l_returnflag AS kind FROM lineitem WHERE l_quantity >= 49)"
+_E = "e AS (SELECT l_partkey AS source, l_suppkey AS target, l_returnflag AS kind FROM lineitem)"
 
 
 @register("dep_edges", f"WITH {_E} SELECT source, target, kind, s_name FROM e JOIN supplier ON s_suppkey = target")
@@ -157,10 +157,12 @@ def dep_stats(spark, sf_dir):
     return G.edge_counts(edges(spark, sf_dir))
 
 
-@register("orphans", f"WITH {_E} SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey NOT IN (SELECT source FROM e WHERE kind = 'R') ORDER BY p_size DESC, p_partkey LIMIT 50")
+@register("orphans", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49) ORDER BY p_size DESC, p_partkey LIMIT 50")
 def orphans(spark, sf_dir):
+    """Parts without a large return: every part has some line, so edges are told apart by quantity."""
     nodes = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    return G.orphans(nodes, edges(spark, sf_dir).where("kind = 'R'"), "p_partkey", "source").orderBy(F.desc("p_size"), "p_partkey").limit(50)
+    large = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_partkey").alias("source"))
+    return G.orphans(nodes, large, "p_partkey", "source").orderBy(F.desc("p_size"), "p_partkey").limit(50)
 
 
 @register("symbol_refs", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_name = (SELECT min(p_name) FROM part) ORDER BY l_orderkey, l_linenumber LIMIT 100")
@@ -197,7 +199,7 @@ def lessons(spark, sf_dir):
 _L = "l AS (SELECT conv_id * 1000 + turn AS id, text AS error_signature, role AS file_pattern, turn < 6 AS is_active, turn::INTEGER AS success_count FROM conversations)"
 
 
-@register("lessons_match", f"WITH {_L} SELECT id, file_pattern FROM l WHERE is_active AND contains(error_signature, 'a') AND contains(file_pattern, 'user') ORDER BY success_count DESC, id LIMIT 10")
+@register("lessons_match", f"WITH {_L} SELECT id, file_pattern FROM l WHERE is_active AND error_signature ILIKE '%a%' AND (file_pattern IS NULL OR file_pattern ILIKE '%user%') ORDER BY success_count DESC, id LIMIT 10")
 def lessons_match(spark, sf_dir):
     return search.match_lessons(lessons(spark, sf_dir), "a", "user").select("id", "file_pattern")
 

@@ -170,9 +170,16 @@ def url_normalise(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.normalize_remote(F.col("url")).alias("url"))
 
 
-@register("language_detect", f"WITH {_FILES} SELECT doc_id, 'Text' AS language FROM files")
+_EXTENSIONS = sorted(T.LANGUAGES) + ["zzz", "bak"]
+_WITH_EXTENSION = f"source || '/doc_' || doc_id || '.' || [{', '.join(repr(x) for x in _EXTENSIONS)}][doc_id % {len(_EXTENSIONS)} + 1]"
+
+
+@register("language_detect", f"SELECT doc_id, CASE regexp_extract(path, '[^.]+$') {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in T.LANGUAGES.items())} ELSE upper(regexp_extract(path, '[^.]+$')) END AS language FROM (SELECT doc_id, {_WITH_EXTENSION} AS path FROM documents)")
 def language_detect(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", T.language_of(F.col("path")).alias("language"))
+    """Documents named in turn with every known extension and two unknown ones, in capitals now and then."""
+    end = F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), F.pmod(F.col("doc_id"), F.lit(len(_EXTENSIONS))).cast("int") + 1)
+    path = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), F.when(F.col("doc_id") % 3 == 0, F.upper(end)).otherwise(end))
+    return docs(spark, sf_dir).select("doc_id", T.language_of(path).alias("language"))
 
 
 @register("html_comment_metrics")
