@@ -428,43 +428,231 @@ def test_held_out_accuracy(spark, module, label, least):
     assert (p[y].mean() + (~p[~y]).mean()) / 2 >= least
 
 
-def test_language_model(spark, docs):
-    vocab = language_model.vocabulary(docs)
-    model = language_model.train(docs, vocab)
-    z = language_model.log_partition(model)
-    every = np.arange(language_model._MARK)
-    one = np.full(len(every), 3)
-    assert np.exp(language_model.log_probs(model, z, one, one, every)).sum() == pytest.approx(1, abs=1e-3)
-    scored = language_model.score(docs, vocab, model)
-    assert scored.count() == docs.count() and scored.where("n_tokens = 0 AND perplexity IS NOT NULL").count() == 0
-
-
 def test_pipeline_stages(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "decontamination", "encoding"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.where("NOT exact").count() == 0 and 0 < out.count() < 200
 
 
-def test_language_model_words(spark):
+def _folded(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def _scored_by_hand(rows, vocab, model):
+    """(n_tokens, mean log-probability) of each row, word by word, and a function that gives a word's probability."""
+    counts, classes = {}, {}
+    for _, t in rows:
+        for w in _folded(t):
+            counts[w] = counts.get(w, 0) + 1
+    own = language_model.words(pa.array(list(counts)), True)
+    to, rare = vocab.of(own.hash, own.end - own.start)
+    outcome, is_rare = dict(zip(counts, to.tolist())), dict(zip(counts, rare.tolist()))
+    for w, n in counts.items():
+        if is_rare[w]:
+            classes[outcome[w]] = classes.get(outcome[w], 0) + n
+    group = {i: g for g, (lo, hi) in enumerate(zip(vocab.starts[:-1], vocab.starts[1:])) for i in range(lo, hi)}
+
+    def probability(second, last, word):
+        q = model.context[second] * model.place[0] + model.context[last] * model.place[1]
+        score = lambda rows: np.exp((rows[:, :-1] @ q + rows[:, -1]).astype(float))
+        i = outcome[word]
+        every, g = score(model.group), group[i]
+        inside = score(model.target[vocab.starts[g] : vocab.starts[g + 1]])
+        p = every[g] / every.sum() * inside[i - vocab.starts[g]] / inside.sum()
+        return p * (counts[word] / classes[i] if is_rare[word] else 1)
+
+    out = []
+    for _, t in rows:
+        w = _folded(t)
+        ids = [vocab.mark, vocab.mark, *(outcome[x] for x in w)]
+        out.append((len(w), np.mean([np.log(probability(ids[k], ids[k + 1], x)) for k, x in enumerate(w)]) if w else None))
+    return out, probability, list(counts), is_rare
+
+
+def test_language_model_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "WORDS", 150)
     rng = random.Random(5)
-    common = " ".join(f"c{k:04d}" for k in range(1500) for _ in range(3))
-    texts = [_text(rng, 300, 3000) for _ in range(40)] + [common] + [f"once{k:05d}" for k in range(50)]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    counts = {}
-    for w in " ".join(texts).split():
-        counts[w] = counts.get(w, 0) + 1
+    rows = [(k, _text(rng, 120, 600)) for k in range(30)] + [(100, "a b b " + "once" * 9), (101, None), (102, ""), (103, "!?"), (None, "w1 w2"), (100, "w1 w1 zzz"), (100, "w1 w1 zzz")]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, uid int, own int, `a.b` int")
     vocab = language_model.vocabulary(docs)
-    once = [w for w, n in counts.items() if n < language_model.LEAST]
-    assert len(vocab.hashes) == len(counts) - len(once) > 1024
-    own = language_model.words(pa.array(list(counts)), True)
-    to = vocab.of(own.hash, own.end - own.start)
-    assert len(set(to.tolist())) == len(vocab.hashes) + len({len(w) for w in once})
+    assert len(vocab.hashes) == 150 and vocab.total == sum(len(_folded(t)) for _, t in rows)
     model = language_model.train(docs, vocab)
-    z, split = language_model.log_partition(model), vocab.split()
-    for second, last in ((vocab.mark, vocab.mark), (3, 900)):
-        p = np.exp(language_model.word_log_probs(model, vocab, split, z, np.full(len(to), second), np.full(len(to), last), to))
-        assert (p > 0).all() and 0.98 < p.sum() < 1.001  # the rest is for lengths that no rare word has
-        assert np.ptp(p[[k for k, w in enumerate(counts) if w.startswith("once")]]) < 1e-9
+    want, probability, every, is_rare = _scored_by_hand(rows, vocab, model)
+    assert sum(is_rare.values()) > 300
+    got = sorted([(r.doc_id, r.n_tokens, r.mean_log_prob, r.perplexity) for r in language_model.score(docs, vocab, model).collect()], key=lambda r: (repr(r[0]), r[1], r[2] or 0))
+    want = sorted([(k, n, p) for (k, _), (n, p) in zip(rows, want)], key=lambda r: (repr(r[0]), r[1], r[2] or 0))
+    for (k, n, p, e), (i, m, q) in zip(got, want, strict=True):
+        assert (k, n) == (i, m) and (p is None) == (q is None) == (e is None)
+        assert p is None or (p == pytest.approx(q, abs=1e-4) and e == pytest.approx(np.exp(-p)))
+    for second, last in ((vocab.mark, vocab.mark), (3, 90)):
+        seen = {int(x) for x in vocab.other[vocab.tokens > 0]}
+        rest = [i for i in vocab.other.tolist() if i not in seen]  # classes that no word has
+        p = sum(probability(second, last, w) for w in every)
+        assert 0.9 < p < 1.0001 and (rest or p > 0.9999)
+
+
+def test_language_model_ignores_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 5000)
+
+    def scores(own):
+        vocab = language_model.vocabulary(own)
+        return sorted([(repr(r.doc_id), r.n_tokens, r.mean_log_prob or 0.0) for r in language_model.score(own, vocab, language_model.train(own, vocab)).collect()])
+
+    one, other = scores(docs.coalesce(1)), scores(docs.repartition(7, "n_chars"))
+    assert [x[:2] for x in one] == [x[:2] for x in other]
+    assert np.allclose([x[2] for x in one], [x[2] for x in other], atol=1e-5)
+
+
+def test_language_model_empty(spark):
+    empty = spark.createDataFrame([(1, None), (2, ""), (3, "--")], "doc_id long, text string")
+    assert language_model.vocabulary(empty) is None
+    assert sorted(tuple(r) for r in language_model.score(empty, None, None).collect()) == [(k, 0, None, None) for k in (1, 2, 3)]
+    assert language_model.score(empty.limit(0), None, None).count() == 0
+
+
+def _hash_gram(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+    x = ((h ^ (h >> 15)) * 0x2C1B3C6D + len(gram)) & 0xFFFFFFFF
+    x ^= x >> 12
+    return ((x * 0x297A2D39) & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+
+def test_toxicity_forward():
+    """Bags and probabilities against loops over words and bytes."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.3)
+    texts = ["Some words, some WORDS again", "naïve  é", "a", "", "--", None, "x" * 5000, "zu kurz ab"]
+    want = []
+    for t in texts:
+        bag = []
+        for w in _folded(t):
+            body = b"\0" + w.encode() + b"\0"
+            bag += [_hash_gram(body[i : i + n]) for n in toxicity.SIZES for i in range(len(body) - n + 1)]
+        mean = sum(float(model.logit[g]) for g in bag) / (len(bag) + toxicity.BLANKS)
+        want.append(1 / (1 + np.exp(-(mean + model.bias))) if bag else 0.0)
+    assert toxicity.probabilities(model, pa.array(texts)) == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(4)
+    emb, soft, bias = rng.normal(0, 1, (30, 6)), rng.normal(0, 1, (6, 2)), rng.normal(0, 1, 2)
+    size = np.array([5, 3, 7])
+    ids, part = np.concatenate([rng.permutation(30)[:n] for n in size]), rng.random(15)
+    begin, target, weight = np.cumsum(size) - size, np.eye(2)[[1, 0, 1]], np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        total = 0.0
+        for k in range(3):
+            own = slice(begin[k], begin[k] + size[k])
+            z = (emb[ids[own]] * part[own, None]).sum(0) @ soft + bias
+            total += weight[k] / 3 * (np.log(np.exp(z).sum()) - z @ target[k])
+        return total
+
+    back, gs, gb = toxicity.gradients(emb, soft, bias, ids, part, begin, target, weight)
+    ge = np.zeros_like(emb)
+    np.add.at(ge, ids, np.repeat(back, size, axis=0) * part[:, None])
+    for values, grads in ((emb, ge), (soft, gs), (bias, gb)):
+        for at in np.ndindex(values.shape):
+            keep = values[at]
+            values[at] = keep + 1e-5
+            up = loss()
+            values[at] = keep - 1e-5
+            down = loss()
+            values[at] = keep
+            assert grads[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_toxicity_misspelling():
+    rng = random.Random(6)
+    bad = ["scoundrel", "blackguard", "nincompoop"]
+    texts = [_text(rng, 12) + (f" you {rng.choice(bad)} and {rng.choice(bad)} " if k % 2 else " ") + _text(rng, 12) for k in range(300)]
+    model = toxicity.train(texts, [k % 2 for k in range(300)])
+    unseen = ["you scounndrel and blakguard", "you nincompooop and scoundrell"]
+    p = toxicity.probabilities(model, pa.array([_text(rng, 12) + " " + x + " " + _text(rng, 12) for x in [*unseen, "we walk and talk", "you and me and them"]]))
+    assert p[:2].min() > 0.5 > p[2:].max()
+
+
+@pytest.mark.parametrize("module, column", [(toxicity, "toxic_prob"), (quality, "quality_prob")])
+def test_classifier_rows(spark, module, column):
+    label = "toxic" if module is toxicity else "quality"
+    rows = [(1, None), (2, ""), (3, "good words here"), (3, "good words here"), (None, "good words here"), (4, "x " * 100_000)]
+    docs = spark.createDataFrame([(k, t, 1.0, 2) for k, t in rows], f"doc_id long, text string, {column} double, `a.b` int")
+    for labels, rest in (([], 0.0 if module is toxicity else 1.0), ([(3, 1), (99, 0)], 1.0), ([(3, 0)], 0.0), ([(3, None)], 0.0 if module is toxicity else 1.0)):
+        model = module.fit(docs, spark.createDataFrame(labels, f"doc_id long, {label} int"))
+        got = sorted(((r.doc_id, getattr(r, column)) for r in module.score(docs, model).collect()), key=repr)
+        assert got == sorted([(1, 0.0), (2, 0.0), (3, rest), (3, rest), (None, rest), (4, rest)], key=repr)
+    assert module.score(docs.limit(0), module.fit(docs.limit(0), spark.createDataFrame([], f"doc_id long, {label} int"))).count() == 0
+
+
+def test_quality_forward():
+    """Probabilities against loops over chunks, places and filters."""
+    rng = np.random.default_rng(5)
+    net = quality.Net(rng.normal(0, 1, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), *(rng.normal(0, 1, s).astype(np.float32) for s in ((quality.FILTERS, quality.HIDDEN), quality.HIDDEN, quality.HIDDEN)), 0.1)
+    texts = ["short", "é" * 40, "some text of a few words. " * 9, "x" * 64, "y" * 57, "", None, "z" * 700]
+
+    def one(text):
+        body = (text or "").encode()
+        n, w, b = len(body), quality.WIDTH, quality.BLOCK
+        if not n:
+            return 0.0
+        blocks = -(-(n + w - 1) // b)
+        at = [[sum(net.taps[k][(body + b"\0" * w)[i + k]] for k in range(w)) for i in range(lo * b, min(n, lo * b + b))] for lo in range(blocks)]
+        hidden = []
+        for k in range(max(1, blocks - 1)):
+            places = at[k] + (at[k + 1] if blocks > 1 else [])
+            pooled = np.maximum(np.max(places, axis=0), 0)
+            hidden.append(np.maximum(pooled @ net.w1 + net.b1, 0))
+        return 1 / (1 + np.exp(-np.clip(np.max(hidden, axis=0) @ net.w2 + net.b2, -30, 30)))
+
+    assert quality.probabilities(net, pa.array(texts)) == pytest.approx([one(t) for t in texts], abs=1e-4)
+
+
+def test_quality_stage_keeps_rows(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(1, "a", 1, "x"), (None, "b", 2, "y"), (3, None, 3, "z"), (4, "", 4, None), (1, "a", 1, "x")], "doc_id long, text string, `a.b` int, keep string")
+    kept = quality.keep_good(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "a", 1, "x"), (1, "a", 1, "x"), (None, "b", 2, "y")], key=repr)
+
+
+def test_nce_gradients():
+    """Gradients against differences of the objective, worked out in double precision."""
+    n = 40
+    share = np.full(n, 1 / n, np.float32)
+    vocab = language_model.Vocabulary(np.arange(n - language_model.CLASSES if n > language_model.CLASSES else 0).astype(np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), share, language_model._starts(n), n)
+    trainer = language_model.Trainer(vocab, 1)
+    rng = np.random.default_rng(2)
+    trainer._hold(np.arange(n + 1 + language_model.GROUPS))
+    second, last, to = (rng.integers(0, n, 12) for _ in range(3))
+    noise = rng.integers(0, n, language_model.NOISE)
+    outcomes = [(to, noise), (vocab.group(to) + n + 1, vocab.group(noise) + n + 1)]
+
+    def objective():
+        c, t, place = trainer.context.astype(float), trainer.target.astype(float), trainer.place.astype(float)
+        q = np.concatenate([c[second] * place[0] + c[last] * place[1], np.ones((12, 1))], axis=1)
+        total = 0.0
+        for true, false in outcomes:
+            x = (q * t[true]).sum(1) - trainer.noise_log[true] - np.log(language_model.NOISE)
+            y = q @ t[false].T - trainer.noise_log[false] - np.log(language_model.NOISE)
+            total += -np.log1p(np.exp(-x)).sum() - np.log1p(np.exp(y)).sum()
+        return total
+
+    place, parts = trainer.gradients(second, last, outcomes)
+    full = [np.zeros_like(trainer.context), np.zeros_like(trainer.target)]
+    for f, (ids, g) in zip(full, parts):
+        np.add.at(f, ids, g)
+    for values, grads in ((trainer.context, full[0]), (trainer.target, full[1]), (trainer.place, place)):
+        for _ in range(25):
+            at = tuple(rng.integers(0, k) for k in values.shape)
+            keep, step = values[at], 2.0**-7
+            values[at] = keep + step
+            up = objective()
+            values[at] = keep - step
+            down = objective()
+            values[at] = keep
+            assert grads[at] == pytest.approx((up - down) / (2 * step), abs=2e-2, rel=2e-2)
 
 
 def test_html_forms_and_svg():
