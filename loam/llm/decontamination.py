@@ -9,8 +9,10 @@ reordered passages count. Items shorter than a seed use their own length.
 
 Defined results: rows with a NULL or wordless text never match; rows that share
 a doc_id or item_id are tiled one by one, and the best coverage of a pair is
-kept; rows without doc_id have no pairs, but the pipeline stage judges and drops
-them like others; an empty table gives an empty result. Other columns are ignored.
+kept; of equally long runs the first in the document, then in the item, is tiled first; rows
+without doc_id or item_id have no pairs, but the pipeline stage judges and drops documents
+without doc_id like others; texts are matched whole; an empty table gives an empty result. Other
+columns, whatever their names, are ignored. A benchmark beyond BROADCAST_BYTES takes another way to the same result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, fresh, prepare, row_id, table
-from .textkit import U, Words, mix, ngrams, slices, words
+from .textkit import _BASE, U, Words, mix, ngrams, prefix_sums, slices, span_hash, words
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -41,51 +43,85 @@ def _runs(free: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(taken[size:] == taken[:-size])
 
 
-def _roll(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of `size` tokens."""
-    h = np.zeros(len(tokens) - size + 1, U)
-    for k in range(size):
-        h = h * U(0x9E3779B97F4A7C15) + tokens[k : k + len(h)]
-    return mix(h)
-
-
-def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """All (i, j) with equal free windows of `size` words at a[i:] and b[j:], in order."""
-    i, j = _runs(free_a, size), _runs(free_b, size)
-    if not len(i) or not len(j):
-        return []
-    ha, hb = _roll(a, size)[i], _roll(b, size)[j]
+def _starts_of(hashes: np.ndarray) -> dict[int, list[int]]:
     where: dict[int, list[int]] = {}
-    for p, h in zip(j.tolist(), hb.tolist()):
+    for p, h in enumerate(hashes.tolist()):
         where.setdefault(h, []).append(p)
-    found = []
-    for p in np.flatnonzero(np.isin(ha, hb)).tolist():
-        at = int(i[p])
-        found += [(at, q) for q in where[int(ha[p])] if np.array_equal(a[at : at + size], b[q : q + size])]
-    return found
+    return where
+
+
+class _Pair:
+    """Two sequences of words with prefix sums, so that Karp-Rabin hashes of any length take one step a window."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.sums = prefix_sums(a), prefix_sums(b)
+        self.free = np.ones(len(a), bool), np.ones(len(b), bool)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts and hashes of the free windows of a that b has too, and of those of b)."""
+        i, j = (_runs(f, size) for f in self.free)
+        ha, hb = (span_hash(s, x, x + size) for s, x in zip(self.sums, (i, j)))
+        inside = np.isin(ha, hb)
+        return i[inside], ha[inside], j, hb
+
+    def equal(self, i: int, j: int, size: int) -> bool:
+        return np.array_equal(self.a[i : i + size], self.b[j : j + size])
+
+    def any(self, size: int) -> bool:
+        """Whether some free windows match, word by word."""
+        i, ha, j, hb = self.windows(size)
+        if not len(i):
+            return False
+        where = _starts_of(hb)
+        return any(self.equal(p, int(j[q]), size) for p, h in zip(i.tolist(), ha.tolist()) for q in where[h][:1]) or any(self.equal(p, int(j[q]), size) for p, h in zip(i.tolist(), ha.tolist()) for q in where[h][1:])
+
+    def mark(self, size: int) -> list[tuple[int, int, int]]:
+        """Tiles of this length: each free window of a with the first free one of b that it matches."""
+        i, ha, j, hb = self.windows(size)
+        where, (free_a, free_b), tiles = _starts_of(hb), self.free, []
+        for p, h in zip(i.tolist(), ha.tolist()):
+            if not free_a[p : p + size].all():
+                continue
+            left = where[h]
+            at = 0
+            while at < len(left):
+                q = int(j[left[at]])
+                if not free_b[q : q + size].all():
+                    left.pop(at)  # never free again
+                elif self.equal(p, q, size):
+                    free_a[p : p + size] = free_b[q : q + size] = False
+                    tiles.append((p, q, size))
+                    break
+                else:
+                    at += 1
+        return tiles
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in a, start in b, length) of at least `least` tokens, longest first."""
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    tiles: list[tuple[int, int, int]] = []
-    top = min(len(a), len(b))
-    while top >= least and _matches(a, b, free_a, free_b, least):
+    pair, tiles, top = _Pair(a, b), [], min(len(a), len(b))
+    while top >= least and pair.any(least):
         lo, hi = least, top
         while lo < hi:  # a match of some length has matches of all smaller ones within
             mid = (lo + hi + 1) // 2
-            if _matches(a, b, free_a, free_b, mid):
+            if pair.any(mid):
                 lo = mid
             else:
                 hi = mid - 1
-        for i, j in _matches(a, b, free_a, free_b, lo):
-            if free_a[i : i + lo].all() and free_b[j : j + lo].all():
-                free_a[i : i + lo] = free_b[j : j + lo] = False
-                tiles.append((i, j, lo))
+        tiles += pair.mark(lo)
         top = lo
     return tiles
 
 
+def _roll(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` words, those of `ngrams`."""
+    h = np.zeros(len(tokens) - size + 1, U)
+    for k in range(size):
+        h = h * U(_BASE) + tokens[k : k + len(h)]
+    return mix(h)
+
+
 class Bench:
     """Seeds of a benchmark, sorted by hash, with a bit table in front."""
 
@@ -106,15 +142,17 @@ class Bench:
         r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         order = np.lexsort((r, h))
         self.hash, self.row = h[order], r[order]
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.hash >> U(64 - _BITS)).astype(np.int64)] = True
+        # A table of a few bits for a few seeds, of 2**_BITS for many.
+        self.shift = U(64 - min(_BITS, max(4, (16 * len(h)).bit_length())))
+        self.bits = np.zeros(1 << int(U(64) - self.shift), bool)
+        self.bits[(self.hash >> self.shift).astype(np.int64)] = True
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word index, seed length, benchmark row) of every seed in a batch of documents."""
         out = []
         for n in self.sizes:
             h, at, _ = ngrams(w, n)
-            maybe = np.flatnonzero(self.bits[(h >> U(64 - _BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
             lo = np.searchsorted(self.hash, h[maybe], "left")
             times = np.searchsorted(self.hash, h[maybe], "right") - lo
             place = np.repeat(lo, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
@@ -187,14 +225,22 @@ def _broadcast(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float
 
 def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet by a shuffle, then
-    the texts of the pairs do."""
-    sizes = benchmark.select(_short(seed)(F.col("text")).alias("n")).where("n > 0").distinct()
-    lengths = sorted(r.n for r in sizes.collect())  # at most `seed` of them
+    the texts of the pairs do. Each text sends a seed once; equal texts are one on either side until the end.
+    """
+
+    def own_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[int] = set()
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                found.update(np.minimum(np.diff(words(b.column(1).slice(lo, hi - lo), True).first), seed).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], names=["n"])
+
+    lengths = sorted(r.n for r in benchmark.mapInArrow(own_lengths, "n int").distinct().collect())  # at most `seed` of them
 
-    def seeds(id_name: str, own: bool):
+    def seeds(name: str, own: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, texts = np.asarray(b.column(0).fill_null(-(1 << 62))), b.column(1)
+                ids, texts = np.asarray(b.column(0)), b.column(1)
                 for lo, hi in slices(texts):
                     w = words(texts.slice(lo, hi - lo), True)
                     count = np.diff(w.first)
@@ -204,33 +250,35 @@ def _joined(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -
                         if own:
                             keep = np.minimum(count, seed)[row] == n
                             h, row = h[keep], row[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(ids[lo:hi][row])], names=["h", "n", id_name])
+                        order = np.lexsort((h, row))
+                        h, row = h[order], row[order]
+                        new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
+                        h, row = h[new], row[new]
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(ids[lo:hi][row])], names=["h", "n", name])
 
         return run
 
-    left = docs.where("doc_id IS NOT NULL").mapInArrow(seeds("doc_id", False), "h long, n int, doc_id long")
-    right = benchmark.mapInArrow(seeds("item_id", True), "h long, n int, item_id long").distinct()
-    pairs = left.join(right, ["h", "n"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(docs.withColumnRenamed("text", "doc_text"), "doc_id").join(benchmark.withColumnRenamed("text", "item_text"), "item_id")
+    def texts_of(rows: DataFrame, uid: str) -> DataFrame:
+        """(uid, text) of distinct texts."""
+        return rows.where("text IS NOT NULL AND text != ''").select(F.xxhash64("text").alias(uid), "text").dropDuplicates([uid])
+
+    a, b = texts_of(docs, "x"), texts_of(benchmark, "y")
+    right = b.mapInArrow(seeds("y", True), "h long, n int, y long").distinct()
+    left = a.mapInArrow(seeds("x", False), "h long, n int, x long")
+    pairs = left.join(right, ["h", "n"]).select("x", "y").distinct()
+    both = pairs.join(a.withColumnRenamed("text", "doc_text"), "x").join(b.withColumnRenamed("text", "item_text"), "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             found = []
-            for d, i, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-                bench = Bench([i], [y], seed)
-                found += _found(bench, [d], words(pa.array([x], pa.string()), True), coverage)
+            for x, y, text, item in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found += _found(Bench([y], [item], seed), [x], words(pa.array([text], pa.string()), True), coverage)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), _schema())], schema=_schema())
-
-    return both.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(check, _OUT)
-
-
-def _short(seed: int):
-    def n(col):
-        found = F.regexp_count(F.lower(col), F.lit(r"[a-z0-9\x{80}-\x{10ffff}]+"))
-        return F.least(found, F.lit(seed))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), _schema())], schema=_schema())
 
-    return n
+    hit = both.select("x", "y", "doc_text", "item_text").mapInArrow(check, _OUT).withColumnsRenamed({"doc_id": "x", "item_id": "y"})
+    named = docs.select("doc_id", F.xxhash64("text").alias("x")).join(hit, "x").join(benchmark.select("item_id", F.xxhash64("text").alias("y")), "y")
+    return named.select(*_schema().names)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,12 @@ row number, row count and seed can compute shard and slot (`place`), and the
 inverse network (`source_row`) finds the row that fills a slot.
 
 Defined results: rows with a NULL key come first; rows that share a key are
-ordered by the hash of their other columns, and identical rows are
+ordered by the hash of all their columns (maps by their text), and identical rows are
 interchangeable; an empty table gives an empty result; input columns named
-row_no, shard or slot are replaced.
+row_no, shard or slot are replaced, all others, whatever their names, are kept; texts of any length pass.
+
+Nothing gathers the rows of one key: rows are counted by key, hash and input partition, these counts
+are put in order, and each row needs only its place among the equal rows of its own partition.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, key_parts, prepare, table, without
+from .common import col, durable, fresh, key_parts, prepare, table, without
 
 SHARDS = 64
 SEED = 20240229
@@ -92,36 +95,34 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int
     if shards < 1:
         raise ValueError("shards must be at least 1")
     prepare(docs.sparkSession)
-    docs = without(docs, *[c for c in ("row_no", "shard", "slot", "__n", "__k", "__start") if c != key])
-    none, value = key_parts(docs, key)
-    keys = docs.select(none.alias("__n"), value.alias("__k")).groupBy("__n", "__k").agg(F.count("*").alias("__c"))
-    by_range = keys.repartitionByRange(F.col("__n").desc(), F.col("__k")).withColumn("__p", F.spark_partition_id())
-    by_range = durable(by_range)
-    parts = by_range.groupBy("__p").agg(F.sum("__c").alias("__t"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    docs = without(docs, *[c for c in ("row_no", "shard", "slot") if c != key])
+    names = [fresh(docs, f"_{c}") for c in "nkhpcirs"]
+    none, value, h, p, count, inside, rank, start = names
+    hashed = [col(f.name).cast("string") if "map<" in f.dataType.simpleString() else col(f.name) for f in docs.schema.fields]
+    is_null, plain = key_parts(docs, key)
+    keyed = docs.withColumns({none: is_null, value: plain, h: F.xxhash64(*hashed), p: F.spark_partition_id()})
+    keys = [none, value, h, p]
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias(count))
+    order = [F.col(none).desc(), F.col(value), F.col(h), F.col(p)]
+    by_range = durable(counts.repartitionByRange(*order).withColumn(rank, F.spark_partition_id()))
+    parts = by_range.groupBy(rank).agg(F.sum(count).alias("t"))
+    before = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition, so this window is small whatever the table's size.
-    offsets = parts.select("__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), "__t")
-    offsets = durable(offsets)
-    n = offsets.agg(F.coalesce(F.sum("__t"), F.lit(0))).first()[0]
-    inside = Window.partitionBy("__p").orderBy(F.col("__n").desc(), "__k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_range.withColumn("__i", F.coalesce(F.sum("__c").over(inside), F.lit(0))).join(offsets, "__p")
-    starts = starts.select("__n", "__k", (F.col("__o") + F.col("__i")).alias("__start"))
+    offsets = durable(parts.select(rank, F.coalesce(F.sum("t").over(before), F.lit(0)).alias("o"), "t"))
+    n = offsets.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+    earlier = Window.partitionBy(rank).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_range.withColumn(inside, F.coalesce(F.sum(count).over(earlier), F.lit(0))).join(offsets, rank)
+    starts = starts.select(*keys, (F.col("o") + F.col(inside)).alias(start))
 
     @F.pandas_udf("long")
     def position(row_no: pd.Series) -> pd.Series:
         return pd.Series(permute(row_no.to_numpy(), n, seed))
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
-    own = Window.partitionBy("__n", "__k").orderBy("__h")
-    keyed = docs.withColumns({"__n": none, "__k": value, "__h": F.xxhash64(*rest)}).withColumn("__r", F.row_number().over(own))
-    numbered = keyed.join(starts, ["__n", "__k"]).withColumn("row_no", F.col("__start") + F.col("__r") - 1)
-    placed = numbered.withColumn("__q", position("row_no"))
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "row_no",
-        (F.col("__q") % shards).cast("int").alias("shard"),
-        F.expr(f"__q div {shards}").alias("slot"),
-    )
+    numbered = keyed.withColumn(inside, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).join(starts, keys)
+    numbered = numbered.withColumn(rank, F.col(start) + F.col(inside) - 1)
+    placed = numbered.withColumn(count, position(rank))
+    kept = [col(c) for c in docs.columns]
+    return placed.select(*kept, F.col(rank).alias("row_no"), (F.col(count) % shards).cast("int").alias("shard"), F.expr(f"`{count}` div {shards}").alias("slot"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

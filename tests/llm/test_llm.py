@@ -9,7 +9,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loam.llm import bpe, decontamination, html, jaccard, language_model, media, quality, repeats, sharding, toxicity
@@ -217,6 +219,27 @@ def test_sharding(docs):
     assert got and sharding.assign(docs.limit(0)).count() == 0
 
 
+def test_sharding_rows(spark):
+    """Repeated rows, NULL keys, columns with names of the operator's own, maps."""
+    rows = [(None, 1, {"a": 1}, "x"), (None, 1, {"a": 2}, "x"), *[(5, 7, {"b": 1}, "y")] * 40, (3, 2, None, None), *[(5, 8, {"b": 1}, "y")] * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, __h int, m map<string,int>, `a.b` string").withColumns({"_n": F.lit(1), "_k": F.lit(2), "shard": F.lit("old")})
+    got = sharding.assign(docs.repartition(3), shards=4)
+    assert got.columns == ["doc_id", "__h", "m", "a.b", "_n", "_k", "row_no", "shard", "slot"]
+    got = sorted(got.collect(), key=lambda r: r.row_no)
+    assert [r.row_no for r in got] == list(range(len(rows))) and len({(r.shard, r.slot) for r in got}) == len(rows)
+    assert sorted(((r.doc_id, r["__h"], r.m, r["a.b"]) for r in got), key=repr) == sorted(rows, key=repr)
+    assert [r.doc_id for r in got] == [None, None, 3] + [5] * 43
+    assert sum(x["__h"] != y["__h"] for x, y in zip(got[3:], got[4:])) == 1  # equal rows stand together
+    again = {r.row_no: (r.doc_id, r["__h"], r.m) for r in sharding.assign(docs.coalesce(1), shards=4).collect()}
+    assert again == {r.row_no: (r.doc_id, r["__h"], r.m) for r in got}
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 3, 7, 64, 1000):
+        p = sharding.permute(np.arange(n), n)
+        assert sorted(p.tolist()) == list(range(n)) and np.array_equal(sharding.permute(p, n, back=True), np.arange(n))
+
+
 @pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_decontamination(spark, broadcast):
     item = "one two three four five six seven eight nine ten eleven twelve"
@@ -227,15 +250,91 @@ def test_decontamination(spark, broadcast):
     assert {(r.doc_id, r.item_id, r.tiles, r.coverage) for r in found.collect()} == {(1, 9, 1, 1.0), (2, 9, 2, 1.0)}
 
 
+def _tiles(a, b, least):
+    """Greedy string tiling by comparing every pair of places."""
+    used_a, used_b, tiles = set(), set(), []
+    while True:
+        best, top = [], least
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n > top:
+                    best, top = [(i, j)], n
+                elif n == top:
+                    best.append((i, j))
+        if not best:
+            return tiles
+        for i, j in best:
+            if used_a.isdisjoint(range(i, i + top)) and used_b.isdisjoint(range(j, j + top)):
+                used_a.update(range(i, i + top))
+                used_b.update(range(j, j + top))
+                tiles.append((i, j, top))
+
+
 def test_tiling_against_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(40):
-        a, b = (rng.integers(1, 4, n).astype(np.uint64) for n in (25, 18))
-        tiles = decontamination.tile(a, b, 3)
-        for i, j, n in tiles:
-            assert np.array_equal(a[i : i + n], b[j : j + n])
-        longest = max((n for i in range(25) for j in range(18) for n in range(3, 19) if i + n <= 25 and j + n <= 18 and np.array_equal(a[i : i + n], b[j : j + n])), default=0)
-        assert (tiles[0][2] if tiles else 0) == longest
+    for _ in range(150):
+        a, b = (rng.integers(1, rng.integers(2, 6), n).astype(np.uint64) for n in rng.integers(1, 30, 2))
+        assert decontamination.tile(a, b, 3) == _tiles(a.tolist(), b.tolist(), 3)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_decontamination_against_brute_force(spark, broadcast):
+    rng = random.Random(14)
+    items = [(k, _text(rng, n, 300)) for k, n in enumerate((30, 12, 5, 4, 1, 2, 40))] + [(None, "a b"), (50, "İstanbul ÀÉ straße ÿ ω"), (51, _text(rng, 8, 4)), (4, "repeated item id here now")]
+    docs = [(100, None), (101, ""), (102, "--"), (103, items[0][1]), (103, items[0][1]), (None, items[1][1]), (104, "x İSTANBUL àé STRASSE ÿ Ω"), (105, "i̇stanbul àé straße Ÿ Ω end"), (106, "w1 " * 5000 + items[6][1]), (107, "Repeated ITEM id here now"), (108, "w1 w1 w1 w1 w2")]
+    for k in range(60):
+        parts = [_text(rng, rng.randrange(1, 12), 300) for _ in range(3)]
+        for _ in range(rng.randrange(3)):
+            w = items[rng.choice([0, 1, 2, 6])][1].split()
+            i = rng.randrange(len(w))
+            parts.insert(rng.randrange(3), " ".join(w[i:] + w[:i])[: rng.randrange(10, 400)])
+        docs.append((k, " ".join(parts)))
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = _folded(text), _folded(item)
+            if d is None or i is None or not a or not b or len(a) > 1000:
+                continue
+            tiles = _tiles(a, b, min(decontamination.SEED_WORDS, len(b)))
+            matched = sum(t[2] for t in tiles)
+            if matched >= decontamination.COVERAGE * len(b) and tiles:
+                best = (matched / len(b), matched, len(tiles))
+                want[d, i] = max(best, want.get((d, i), best))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"h": F.lit(1), "n": F.lit("x"), "a.b": F.lit(2), "item_id": F.lit(3)})
+    found = decontamination.find(rows, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast).collect()
+    got = {(r.doc_id, r.item_id): (r.coverage, r.matched, r.tiles) for r in found}
+    assert got.pop((106, 6))[0] == 1.0
+    assert {k: v for k, v in got.items() if k[0] != 106} == want and len(want) > 30 and len(found) == len(got) + 1
+
+
+def test_tiling_of_repeated_words():
+    a, b = np.ones(4000, np.uint64), np.ones(3000, np.uint64)
+    began = time.process_time()
+    assert decontamination.tile(a, b, 5) == [(0, 0, 3000)]
+    mixed = np.tile(np.array([1, 1, 1, 1, 1, 1, 2], np.uint64), 600)
+    assert sum(t[2] for t in decontamination.tile(mixed, np.ones(3000, np.uint64), 5)) == 3000
+    assert time.process_time() - began < 5
+
+
+def test_decontamination_empty(spark):
+    docs, items = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    for broadcast in (0, 1 << 20):
+        assert decontamination.find(docs.limit(0), items, broadcast_bytes=broadcast).count() == 0
+        assert decontamination.find(docs, items.limit(0), broadcast_bytes=broadcast).count() == 0
+        assert decontamination.find(docs, items, broadcast_bytes=broadcast).count() == 1
+
+
+def test_decontamination_stage_columns(spark, tmp_path):
+    item = "one two three four five six"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, item, 1, 2), (2, "other words", 3, 4)], "doc_id long, text string, `a.b` int, _row int")
+    left = decontamination.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "other words", 3, 4)]
+    kept = jaccard.keep_one(spark, docs.union(docs), "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, item, 1, 2), (2, "other words", 3, 4)]
 
 
 def test_bpe_matches_tiktoken_and_decodes(spark, docs):
@@ -252,6 +351,21 @@ def test_bpe_matches_tiktoken_and_decodes(spark, docs):
     assert out.where("NOT exact").count() == 0 and out.where("tokens IS NULL").count() == 1
 
 
+def test_bpe_rows(spark):
+    encoder = bpe.Encoder(bpe.read_ranks())
+    rows = [(1, "ab", "k"), (1, "ab", "k"), (2, None, None), (3, "", "x"), (None, "é" * 20_000 + " z", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string").withColumn("a.b", F.lit(1))
+    out = bpe.encode(docs, encoder)
+    assert out.columns == ["doc_id", "a.b", "tokens", "n_tokens", "exact"]
+    assert sorted(((r.doc_id, r.n_tokens, r.exact) for r in out.collect()), key=repr) == sorted([(1, 1, True), (1, 1, True), (2, None, None), (3, 0, True), (None, len(encoder.encode(rows[4][1])), True)], key=repr)
+    back = bpe.decode(out.withColumn("text", F.lit("old")), encoder)
+    assert back.columns == ["doc_id", "a.b", "tokens", "n_tokens", "exact", "text"]
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted([(d, t) for d, t, _ in rows], key=repr)
+    odd = spark.createDataFrame([(1, [0, 60_000_000]), (2, [-1]), (3, [None]), (4, []), (5, None), (6, [encoder.lookup[b"\xff"]])], "id int, tokens array<int>")
+    assert {r.id: r.text for r in bpe.decode(odd, encoder).collect()} == {1: None, 2: None, 3: None, 4: "", 5: None, 6: "\ufffd"}
+    assert bpe.encode(docs.limit(0), encoder).count() == 0 and bpe.decode(odd.limit(0), encoder).count() == 0
+
+
 def test_html():
     body = "This is a long paragraph, with commas, and words that go on for a while so that it counts. " * 3
     title, text, score, n = html.extract(f"<title>T</title><div class=nav><a href=x>one, two, three, four, five, six, seven</a></div><div class=article><p>{body}</p><p>{body}</p></div>")
@@ -435,7 +549,7 @@ def test_pipeline_stages(spark):
 
 
 def _folded(text):
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", pc.utf8_lower(pa.scalar(text or "")).as_py())  # letter by letter
 
 
 def _scored_by_hand(rows, vocab, model):
