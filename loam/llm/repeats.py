@@ -8,7 +8,13 @@ that start at window starts are sorted by a mergesort whose comparisons take the
 common extension from prefix polynomial hashes by binary search, up to WORDS
 words, and then the next word. Suffixes that are neighbours and agree in WORDS
 words are the same window if the words themselves agree, which is checked word by
-word, as is that words of one hash are the same bytes.
+word, as is that words of one hash are the same bytes; where they aren't, words get numbers
+of their own, and runs are hashed anew.
+
+Windows that have no other of their hash around an anchor are left out before the sort. Of
+pieces of text that are the same bytes, a task sends one and only the places of the others, which go
+elsewhere and take over what was found for the piece; so a passage of very many
+copies makes no large group.
 
 The first of equal windows (by doc_id, then text hash, then place) is kept;
 every other window is a repeat. Repeats of consecutive places with the same
@@ -125,8 +131,8 @@ def _words(texts: pa.Array) -> Words:
     return Words(data, start, end, hashes, row, np.r_[first, words_before])
 
 
-def check_words(data: np.ndarray, w: Words) -> None:
-    """Raises an error if two words of one hash aren't the same bytes."""
+def tokens_of(data: np.ndarray, w: Words) -> np.ndarray:
+    """Numbers of words: their hashes, but different ones for different bytes even if hashes collide."""
     size = w.end - w.start
     body = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(body, 8)
@@ -148,8 +154,13 @@ def check_words(data: np.ndarray, w: Words) -> None:
     for k in np.flatnonzero((size[a] > 16) & ~apart).tolist():
         i, j = a[k], b[k]
         apart[k] = not np.array_equal(data[w.start[i] : w.end[i]], data[w.start[j] : w.end[j]])
-    if apart.any():
-        raise ValueError("two words have the same 64-bit hash")
+    out = w.hash
+    for h in np.unique(w.hash[a[apart]]):
+        out, names = (out.copy() if out is w.hash else out), {}
+        for i in np.flatnonzero(w.hash == h).tolist():
+            n = names.setdefault(data[w.start[i] : w.end[i]].tobytes(), len(names))
+            out[i] = mix(np.array([h]) + U(n) * U(0x9E3779B97F4A7C15))[0] if n else h
+    return out
 
 
 class Suffixes:
@@ -215,32 +226,35 @@ def repeats(texts: pa.Array, anchor: np.ndarray, offset: np.ndarray, count: np.n
     window k stands at place at[r] + k of the document, offset[r] - k words before the anchor.
     """
     w = _words(texts)
-    check_words(w.data, w)
-    suffixes = Suffixes(w.hash)
-    row = np.repeat(np.arange(len(count)), count)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = w.first[row] + k
-    kind = mix(anchor[row] ^ mix((offset[row] - k).astype(U)))
-    # Only windows that share a hash can be the same.
-    hashed = kind ^ span_hash(suffixes.sums, start, start + WORDS)
-    by = np.argsort(hashed)
-    twice = np.zeros(len(by), bool)
-    same = hashed[by][1:] == hashed[by][:-1]
-    twice[by[1:][same]] = twice[by[:-1][same]] = True
-    keep = np.flatnonzero(twice)
-    keep = keep[np.lexsort((at[row[keep]] + k[keep], uid[row[keep]], doc[row[keep]], kind[keep]))]
-    row, k, start, kind = row[keep], k[keep], start[keep], kind[keep]
-    groups = np.cumsum(np.r_[False, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
-    order = suffixes.sort(start, groups)
-    row, k, start, groups = row[order], k[order], start[order], groups[order]
+    tokens = tokens_of(w.data, w)
+    rows = np.repeat(np.arange(len(count)), count)
+    places = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    starts = w.first[rows] + places
+    kinds = mix(anchor[rows] ^ mix((offset[rows] - places).astype(U)))
+    salt = 0
+    while True:
+        suffixes = Suffixes(mix(tokens ^ U(salt)) if salt else tokens)
+        # Only windows that share a hash can be the same.
+        hashed = kinds ^ span_hash(suffixes.sums, starts, starts + WORDS)
+        by = np.argsort(hashed)
+        twice = np.zeros(len(by), bool)
+        same = hashed[by][1:] == hashed[by][:-1]
+        twice[by[1:][same]] = twice[by[:-1][same]] = True
+        keep = np.flatnonzero(twice)
+        keep = keep[np.lexsort((at[rows[keep]] + places[keep], uid[rows[keep]], doc[rows[keep]], kinds[keep]))]
+        row, k, start, kind = rows[keep], places[keep], starts[keep], kinds[keep]
+        groups = np.cumsum(np.r_[False, kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, np.int64)
+        order = suffixes.sort(start, groups)
+        row, k, start, groups = row[order], k[order], start[order], groups[order]
+        near = np.flatnonzero(groups[1:] == groups[:-1]) + 1
+        near = near[suffixes.common(start[near - 1], start[near]) >= WORDS]
+        alike = np.ones(len(near), bool)
+        for j in range(WORDS):  # collision check
+            alike &= tokens[start[near - 1] + j] == tokens[start[near] + j]
+        if alike.all():
+            break
+        salt += 1
     equal = np.zeros(len(row), bool)
-    near = np.flatnonzero(groups[1:] == groups[:-1]) + 1
-    near = near[suffixes.common(start[near - 1], start[near]) >= WORDS]
-    alike = np.ones(len(near), bool)
-    for j in range(WORDS):  # collision check
-        alike &= w.hash[start[near - 1] + j] == w.hash[start[near] + j]
-    if not alike.all():
-        raise ValueError("two runs of words have the same 64-bit hash")
     equal[near] = True
     head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(row))))
     # The sort is stable, so the first of a class comes first. Copies of one row are that row.
@@ -249,6 +263,27 @@ def repeats(texts: pa.Array, anchor: np.ndarray, offset: np.ndarray, count: np.n
     return row[out], k[out], row[head[out]], k[head[out]]
 
 
+def _islands(row: np.ndarray, k: np.ndarray, doc: np.ndarray, uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs of windows k of a row whose sources are consecutive places of one text."""
+    cut = (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1) | (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]) | (place[1:] != place[:-1] + 1)
+    new = np.flatnonzero(np.r_[True, cut]) if len(row) else np.zeros(0, np.int64)
+    return new, np.r_[new[1:], len(row)] - 1 if len(row) else new
+
+
+def _copies(key: np.ndarray, doc: np.ndarray, uid: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """For each piece, the first (by document and place) that has its key and the same bytes; itself if there is none."""
+    order = np.lexsort((at, uid, doc, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]] if len(key) else np.zeros(0, bool)
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else order
+    maybe = np.flatnonzero(first != np.arange(len(key)))
+    for k in maybe.tolist():
+        i = first[k]
+        if size[i] != size[k] or not np.array_equal(body[begin[i] : begin[i] + size[i]], body[begin[k] : begin[k] + size[k]]):
+            first[k] = k
+    return first
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, start_word, end_word, first_doc, first_uid, first_word): repeated spans of words and their source."""
     docs = _own(docs)
@@ -257,19 +292,27 @@ def spans(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(wanted)
     scale = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = parts_for(3 * scale)
-    names = ["part", "anchor", "offset", "count", "doc", "uid", "at", "size", "text"]
-    kinds = (U, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
+    names = ["part", "anchor", "offset", "count", "doc", "uid", "at", "size", "key", "text"]
+    kinds = (U, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        waiting = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(x) for x in zip(*held)]
-            ends = np.cumsum(cols[6])
-            for p, at in split(part_of(mix(cols[0]), parts), parts):
-                body = _gather(cols[7], ends[at] - cols[6][at], ends[at])
-                packed = [*(c[at].tobytes() for c in cols[:7]), body.tobytes()]
+            h, offset, count, doc, uid, at, size, key, body = (np.concatenate(x) for x in zip(*held))
+            ends = np.cumsum(size)
+            first = _copies(key, doc, uid, at, ends - size, size, body)
+            copy = first != np.arange(len(h))
+            key = np.where(np.isin(np.arange(len(h)), first[copy]) | copy, key, 0)
+            sent = np.flatnonzero(~copy)
+            for p, own in split(part_of(mix(h[sent]), parts), parts):
+                own = sent[own]
+                packed = [*(c[own].tobytes() for c in (h, offset, count, doc, uid, at, size, key)), _gather(body, ends[own] - size[own], ends[own]).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=names)
+            if copy.any():  # places only, wherever there is room
+                packed = [None, None, None, *(c[copy].tobytes() for c in (doc, uid, at)), None, key[copy].tobytes(), None]
+                yield pa.RecordBatch.from_arrays([pa.array([parts + turn % parts], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=names)
 
         for b in batches:
             ids = np.asarray(b.column(0).fill_null(_LAST))
@@ -281,31 +324,60 @@ def spans(docs: DataFrame) -> DataFrame:
                 h, anchor, start, count = h[own], anchor[own], start[own], count[own]
                 row = w.row[start] if len(start) else start
                 begin, end = w.start[start], w.end[start + count + WORDS - 2]
-                held.append((h, anchor - start, count, ids[lo:hi][row], uids[lo:hi][row], start - w.first[row], end - begin, _gather(w.data, begin, end)))
-                if sum(len(x[7]) + 64 * len(x[0]) for x in held) > _HELD:
+                said = span_hash(prefix_sums(w.hash), start, start + count + WORDS - 1)
+                key = mix(said ^ mix(h + (anchor - start).astype(U) * U(1 << 20) + count.astype(U))).view(np.int64) | 1
+                held.append((h, anchor - start, count, ids[lo:hi][row], uids[lo:hi][row], start - w.first[row], end - begin, key, _gather(w.data, begin, end)))
+                waiting += len(held[-1][8]) + 72 * len(h)
+                if waiting > _HELD:
                     yield from flush()
                     held.clear()
+                    waiting, turn = 0, turn + 1
         if held:
             yield from flush()
 
+    columns = ["kind", "key", "doc_id", "uid", "lo", "hi", "first_doc", "first_uid", "first_lo"]
+
+    def batch(kind: int, *cols: np.ndarray | None) -> pa.RecordBatch:
+        n = next(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in cols)], names=columns)
+
     def find(own: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        anchor, offset, count, doc, uid, at, size = (joined(own[n], k) for n, k in zip(names[1:], kinds))
+        if own["anchor"][0] is None:
+            doc, uid, at, key = (joined(own[n], np.int64) for n in ("doc", "uid", "at", "key"))
+            yield batch(1, key, doc, uid, at, None, None, None, None)
+            return
+        anchor, offset, count, doc, uid, at, size, key = (joined(own[n], k) for n, k in zip(names[1:], kinds))
         body = b"".join(own["text"])
         ends = np.concatenate([[0], np.cumsum(size)])
         texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)])
         row, k, source, j = repeats(texts, anchor, offset, count, doc, uid, at)
         order = np.lexsort((k, row))
         row, k, source, j = row[order], k[order], source[order], j[order]
-        if not len(row):
-            return
-        place, first = at[row] + k, at[source] + j
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1) | (doc[source[1:]] != doc[source[:-1]]) | (uid[source[1:]] != uid[source[:-1]]) | (first[1:] != first[:-1] + 1)])
-        last = np.r_[new[1:], len(row)] - 1
-        cols = (doc[row[new]], uid[row[new]], place[new], place[last] + WORDS, doc[source[new]], uid[source[new]], first[new])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "uid", "lo", "hi", "first_doc", "first_uid", "first_lo"])
+        new, last = _islands(row, k, doc[source], uid[source], at[source] + j)
+        if len(new):
+            yield batch(0, None, doc[row[new]], uid[row[new]], at[row[new]] + k[new], at[row[last]] + k[last] + WORDS, doc[source[new]], uid[source[new]], (at[source] + j)[new])
+        # What the copies of a piece take over: the source of each of its windows, itself where it is the first.
+        many = np.flatnonzero(key)
+        if len(many):
+            begin = np.cumsum(count[many]) - count[many]
+            r = np.repeat(many, count[many])
+            w = np.arange(len(r)) - np.repeat(begin, count[many])
+            d, u, f = doc[r], uid[r], at[r] + w
+            where = np.full(len(count), -1)
+            where[many] = begin
+            hit = np.flatnonzero(where[row] >= 0)
+            to = where[row[hit]] + k[hit]
+            d[to], u[to], f[to] = doc[source[hit]], uid[source[hit]], (at[source] + j)[hit]
+            new, last = _islands(r, w, d, u, f)
+            yield batch(2, key[r[new]], None, None, w[new], w[last] + WORDS, d[new], u[new], f[new])
 
     packed = docs.mapInArrow(ship, ", ".join(["part int", *(f"{n} binary" for n in names[1:])]))
-    found = by_part(packed, parts, find, "doc_id long, uid long, lo long, hi long, first_doc long, first_uid long, first_lo long").distinct()
+    made = durable(by_part(packed, parts, find, "kind int, " + ", ".join(f"{c} long" for c in columns[1:])))
+    single = made.where("kind = 0").select(*columns[2:])
+    pieces = made.where("kind = 2").select("key", F.col("lo").alias("k_lo"), F.col("hi").alias("k_hi"), *columns[6:]).distinct()
+    places = made.where("kind = 1").select("key", "doc_id", "uid", F.col("lo").alias("place")).distinct()
+    taken = places.join(pieces, "key").select("doc_id", "uid", (F.col("place") + F.col("k_lo")).alias("lo"), (F.col("place") + F.col("k_hi")).alias("hi"), *columns[6:])
+    found = single.union(taken.where("doc_id != first_doc OR uid != first_uid OR lo != first_lo")).distinct()
     pair = ["doc_id", "uid", "first_doc", "first_uid", "shift"]
     found = found.withColumn("shift", F.col("first_lo") - F.col("lo"))
     order = Window.partitionBy(*pair).orderBy("lo", "hi")

@@ -184,12 +184,83 @@ def _windows(rows):
     return want
 
 
-def test_repeats_are_exact(docs):
-    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.text and r.doc_id is not None}, key=lambda x: x[0])
-    rows = [r for r in rows if r[0] != 5]
-    own = docs.where("doc_id IS NOT NULL AND doc_id != 5")
-    got = {(r.doc_id, p, r.first_doc, r.first_word + p - r.start_word) for r in repeats.dedup_spans(own).collect() for p in range(r.start_word, r.end_word - repeats.WORDS + 1)}
-    assert got == _windows(rows)
+def _uid(spark, texts):
+    """The text hash by which rows of one doc_id are ordered."""
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("uid")).collect()
+    return {r.text: r.uid for r in rows}
+
+
+def _covered(found):
+    return {(r.doc_id, p, r.first_doc, r.first_word + p - r.start_word) for r in found for p in range(r.start_word, r.end_word - repeats.WORDS + 1)}
+
+
+def test_repeats_are_exact(spark, docs):
+    """Rows without doc_id come last, those of one doc_id by the hash of their text, repeated rows count as one."""
+    texts = {r.text for r in docs.collect() if r.text}
+    uid = _uid(spark, texts)
+    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.text}, key=lambda x: (x[0] is None, x[0] or 0, uid[x[1]]))
+    assert sum(i == 5 for i, _ in rows) == 2 and rows[-1][0] is None
+    assert _covered(repeats.dedup_spans(docs).collect()) == _windows(rows)
+
+
+@pytest.mark.parametrize("held", [16 << 20, 20_000])
+def test_repeats_of_many_copies(spark, monkeypatch, held):
+    """Many equal texts, texts that share a part of them, equal passages in different places."""
+    rng = random.Random(21)
+    base = _text(rng, 150, 4000)
+    other = " ".join(base.split()[20:110])
+    rows = [(k, base) for k in range(1, 40)] + [(k, f"{_text(rng, k % 7, 4000)} {other} {_text(rng, 30, 4000)}".strip()) for k in range(40, 60)] + [(None, base), (3, other), (0, "x " + other), (61, base + " " + base)]
+    rows += [rows[5], rows[5], (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    uid = _uid(spark, {t for _, t in rows})
+    want = _windows(sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, uid[x[1]])))
+    assert len(want) > 4000
+    assert _covered(repeats.dedup_spans(docs).collect()) == want
+
+
+def test_repeats_empty(spark, docs):
+    assert repeats.dedup_spans(docs.limit(0)).count() == 0 and repeats.cut(docs.limit(0)).count() == 0
+    assert repeats.dedup_spans(docs.where("text IS NULL OR text = ''")).count() == 0
+
+
+def test_cut_columns(spark):
+    rng = random.Random(22)
+    passage = _text(rng, 60, 900)
+    rows = [(1, passage + " a", 1, "x"), (2, "b " + passage, 2, "y"), (2, "b " + passage, 2, "y"), (None, None, 3, "z"), (None, "", 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _spans string").withColumn("uid", F.lit(7))
+    left = repeats.cut(docs)
+    assert left.columns == docs.columns
+    want = [(1, passage + " a", 1, "x", 7), (2, "b ", 2, "y", 7), (2, "b ", 2, "y", 7), (None, None, 3, "z", 7), (None, "", 4, "z", 7)]
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_colliding_words():
+    w = repeats.words(pa.array(["one two one three two a_word_of_many_letters a_word_of_more_letters"]), False)
+    w.hash[[0, 1, 2, 4]] = 7
+    w.hash[5:] = 9
+    t = repeats.tokens_of(w.data, w).tolist()
+    assert t[0] == t[2] and t[1] == t[4] and len(set(t)) == 5 and w.hash[0] == 7
+
+
+def test_colliding_runs(monkeypatch):
+    """A hash that is the same for all runs is found out and replaced."""
+    rng = np.random.default_rng(3)
+    body = " ".join(f"w{k}" for k in rng.integers(0, 500, 60))
+    texts = pa.array([body, " ".join(f"w{k}" for k in rng.integers(0, 500, 60)), body])
+    args = (texts, np.ones(3, np.uint64), np.full(3, 5), np.full(3, 11), np.arange(3), np.arange(3), np.zeros(3, np.int64))
+    want = repeats.repeats(*args)
+    made = []
+
+    class Poor(repeats.Suffixes):
+        def __init__(self, tokens):
+            super().__init__(tokens)
+            made.append(self)
+            if len(made) == 1:
+                self.sums = np.zeros_like(self.sums)
+
+    monkeypatch.setattr(repeats, "Suffixes", Poor)
+    got = repeats.repeats(*args)
+    assert len(made) == 2 and len(want[0]) == 11 and all(np.array_equal(np.sort(a), np.sort(b)) for a, b in zip(got, want))
 
 
 def test_cut_leaves_one_copy(spark):
