@@ -414,18 +414,32 @@ def log_probs(model: Model, partition: Callable, second: np.ndarray, last: np.nd
 
 
 def outcome_log_probs(model: Model, vocab: Vocabulary, partition: Callable, second: np.ndarray, last: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Log-probability of the outcome of each token, normalised over all outcomes: its group, and itself in the group."""
+    """Log-probability of the outcome of each token, normalised over all outcomes: its group, and itself in the group.
+
+    Tokens of one context and group share their sums, which are worked out once.
+    """
     group = vocab.group(to)
-    out = log_probs(model, partition, second, last, group)
-    q = _query(model, second, last)
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    n = len(model.context)
+    key = (second.astype(np.int64) * n + last) * len(model.group) + group
+    order = np.argsort(key, kind="stable")
+    new = np.diff(key[order], prepend=-1) != 0
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    head = order[new]
+    # The distinct contexts with their groups, by group.
+    by = np.argsort(group[head].astype(np.uint16), kind="stable")
+    q, g = _query(model, second[head], last[head]), group[head]
+    shared = np.einsum("ij,ij->i", q, model.group[g]) - partition(second[head], last[head])
+    norm = np.zeros(len(head))
+    cuts = np.flatnonzero(np.diff(g[by].astype(np.int64), prepend=-1, append=-1))
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        g, own = group[order[lo]], order[lo:hi]
-        begin, end = vocab.starts[g], vocab.starts[g + 1]
+        own = by[lo:hi]
+        begin, end = vocab.starts[g[own[0]]], vocab.starts[g[own[0]] + 1]
         if end - begin > 1:
-            out[own] += np.einsum("ij,ij->i", q[own], model.target[to[own]]) - _log_sum(q[own], model.target[begin:end])
-    return out
+            norm[own] = _log_sum(q[own], model.target[begin:end])
+    single = (np.diff(vocab.starts) <= 1)[group]
+    inside = np.where(single, 0.0, np.einsum("ij,ij->i", q[at], model.target[to]))
+    return shared[at] + inside - norm[at]
 
 
 _HELD = 1_000_000
