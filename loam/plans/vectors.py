@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions import vectors as V
 from ..operators import knn
@@ -71,8 +72,15 @@ def _scalar(name: str, columns: dict, sql: str) -> None:
     ORACLE_SQL[name] = f"SELECT vec_id, {sql} FROM embeddings"
 
 
+def _round(x: Column, n: int) -> Column:
+    """As SQL rounds: the product by 10^n to a whole number, halves away from zero, and negative zero keeps its sign."""
+    scaled = F.abs(x) * F.lit(10.0**n)
+    whole = F.rint(scaled)
+    return F.signum(x) * (whole + F.when(scaled - whole == 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**n)
+
+
 _e = "embedding"
-_r = lambda c, n=5: F.transform(c, lambda x: F.round(x.cast("double"), n))
+_r = lambda c, n=5: F.transform(c, lambda x: _round(x.cast("double"), n))
 _sum = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
 _scalar("vec_length", {"n": lambda: V.vec_length(_e), "kind": lambda: V.vec_type("array<float>")}, "len(embedding)::INTEGER AS n, 'float32' AS kind")
 _scalar("vec_add", {"v": lambda: _r(V.vec_add(_e, _e))}, "list_transform(embedding, lambda x: round((x + x)::DOUBLE, 5)) AS v")

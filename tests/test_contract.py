@@ -43,3 +43,18 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _both(spark, folder, name, vectors):
+    """Values of a vector query and of its SQL over own vectors, as text, which tells -0.0 from 0.0."""
+    table = spark.createDataFrame([(k, v, 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    got = plans.QUERIES[name](spark, str(folder)).orderBy("vec_id").collect()
+    return [repr(r[1]) for r in got], [repr(r[1]) for r in con.sql(f"SELECT * FROM ({plans.ORACLE_SQL[name]}) ORDER BY vec_id").fetchall()]
+
+
+def test_vec_add_rounds_as_sql(spark, tmp_path):
+    got, want = _both(spark, tmp_path, "vec_add", [[-1e-6, 1e-6, -0.0, 0.0], [1 / 128, -1 / 128, -0.25, 3e6], [float("nan"), float("inf"), -float("inf"), None], [], None])
+    assert got == want and got[0] == "[-0.0, 0.0, -0.0, 0.0]"
