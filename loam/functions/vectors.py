@@ -99,9 +99,13 @@ def vec_norm(col: Column | str) -> Column:
 
 
 def vec_normalize(col: Column | str) -> Column:
-    """The vector over its length; NULL for a zero vector."""
-    norm = vec_norm(col)
-    return F.when(norm > 0, F.transform(col, lambda x: x.cast("double") / norm))
+    """The vector over its length, which is summed once a row; NaN for a zero vector, NULL for one with a NULL element."""
+
+    def over(norm: Column) -> Column:
+        one = lambda x: F.when(norm == 0, x.cast("double") * F.lit(float("inf"))).otherwise(x.cast("double") / norm)
+        return F.when(norm.isNotNull(), F.transform(col, one))
+
+    return F.transform(F.array(vec_norm(col)), over)[0]
 
 
 def vec_quantize_int8(col: Column | str) -> Column:

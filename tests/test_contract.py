@@ -1,8 +1,11 @@
+import math
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from loam import plans
+from loam.plans import vectors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,9 +48,9 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def _both(spark, folder, name, vectors):
+def _both(spark, folder, name, own):
     """Values of a vector query and of its SQL over own vectors, as text, which tells -0.0 from 0.0."""
-    table = spark.createDataFrame([(k, v, 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    table = spark.createDataFrame([(k, v, 0) for k, v in enumerate(own)], "vec_id long, embedding array<float>, label int")
     table.write.parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
@@ -58,3 +61,15 @@ def _both(spark, folder, name, vectors):
 def test_vec_add_rounds_as_sql(spark, tmp_path):
     got, want = _both(spark, tmp_path, "vec_add", [[-1e-6, 1e-6, -0.0, 0.0], [1 / 128, -1 / 128, -0.25, 3e6], [float("nan"), float("inf"), -float("inf"), None], [], None])
     assert got == want and got[0] == "[-0.0, 0.0, -0.0, 0.0]"
+
+
+def test_vec_normalize_is_sql(spark, tmp_path):
+    own = [[0.0, -0.0], [-1e-6, 1.0], [3.0, -4.0], [float("nan"), 1.0], [float("inf"), -1.0], [1e-45, 0.0], [-3e38, 3e38], [], None]
+    got, want = _both(spark, tmp_path, "vec_normalize", own)
+    assert got == want and got[:3] == ["[nan, nan]", "[-0.0, 1.0]", "[0.6, -0.8]"]
+
+
+def test_rounding_near_halves(spark, duck):
+    values = [s * math.nextafter((k + 0.5) / 1e5, up) for k in range(0, 99_999, 37) for up in (0, 1) for s in (1, -1)]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(vectors._r("v")).first()[0]
+    assert list(map(repr, got)) == [repr(r[0]) for r in duck.execute("SELECT round(x, 5) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
