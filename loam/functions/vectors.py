@@ -1,10 +1,10 @@
 """Vector columns: constructors, arithmetic, quantisation and distances.
 
 Vectors are array columns (float or tinyint); bit vectors are binary columns.
-Elementwise functions are built-in expressions; distances to a query vector run
-in Arrow batches with numpy, in double precision. A NULL vector gives NULL; a
-distance of vectors of different sizes or a cosine distance of a zero vector is
-NULL.
+Elementwise functions but vec_to_json are built-in expressions; distances to a
+query vector run in Arrow batches with numpy, in double precision. A NULL vector
+gives NULL; a distance of vectors of different sizes or a cosine distance of a
+zero vector is NULL.
 """
 
 from __future__ import annotations
@@ -136,8 +136,14 @@ def vec_distance_hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def vec_to_json(col: Column | str) -> Column:
-    text = F.transform(col, lambda x: F.when(F.isnan(x), F.lit("null")).otherwise(F.format_string("%.6f", x.cast("double"))))
-    return F.concat(F.lit("["), F.array_join(text, ","), F.lit("]"))
+    """A list of numbers with six decimals as C's printf has them: of the exact value, halves to even; NaN and NULL are null."""
+
+    @F.pandas_udf("string")
+    def run(vectors: pd.Series) -> pd.Series:
+        one = lambda v: "[" + ",".join("null" if x is None or x != x else f"{x:.6f}" for x in v.tolist()) + "]"
+        return vectors.map(lambda v: None if v is None else one(v))
+
+    return run(col)
 
 
 def vec_each(col: Column | str, kind: str = "float32") -> Column:

@@ -2,9 +2,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loam import plans
+from loam.functions import vectors as V
 from loam.plans import vectors
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,14 @@ def test_rounding_near_halves(spark, duck):
     values = [s * math.nextafter((k + 0.5) / 1e5, up) for k in range(0, 99_999, 37) for up in (0, 1) for s in (1, -1)]
     got = spark.createDataFrame([(values,)], "v array<double>").select(vectors._r("v")).first()[0]
     assert list(map(repr, got)) == [repr(r[0]) for r in duck.execute("SELECT round(x, 5) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+
+
+def test_vec_to_json_is_sql(spark, tmp_path):
+    own = [[1 / 128, 3 / 128, -1 / 128, -9 / 128], [1e20, 3e38, -1e-8, -0.0], [float("inf"), -float("inf"), 1e-45, 5e-7], [], None]
+    got, want = _both(spark, tmp_path, "vec_to_json", own)
+    assert got == want and got[0] == "'[0.007812,0.023438,-0.007812,-0.070312]'"
+
+
+def test_vec_to_json_other_types(spark):
+    rows = spark.createDataFrame([([1e11 + 1 / 3, None, float("nan")], [1, None, -2])], "d array<double>, i array<tinyint>")
+    assert tuple(rows.select(V.vec_to_json("d"), V.vec_to_json(F.col("i"))).first()) == ("[100000000000.333328,null,null]", "[1.000000,null,-2.000000]")
